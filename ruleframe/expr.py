@@ -322,9 +322,9 @@ class Compiler:
         if low == "sysdate":
             return Typed(self.today, "date")
         if low == "lower__bound__dt":
-            return Typed(F.lit(date(1, 1, 1)), "date")
+            return Typed(F.lit("0001-01-01").cast("date"), "date")
         if low == "upper__bound__dt":
-            return Typed(F.lit(date(9999, 12, 31)), "date")
+            return Typed(F.lit("9999-12-31").cast("date"), "date")
         found = self.scope(low)
         if found is None:
             raise RuleError(f"Undefined variable: {n.value}")

@@ -37,8 +37,8 @@ class Rows:
 
 def micros(dt: Column) -> Column:
     """A time as microseconds of its calendar reading, whatever the session's zone."""
-    day = F.unix_date(F.to_date(dt)) * F.lit(86_400_000_000)
-    return day + (F.hour(dt) * 3600 + F.minute(dt) * 60) * F.lit(1_000_000) + (F.date_part(F.lit("SECOND"), dt) * 1_000_000).cast("bigint")
+    clock = (F.hour(dt) * 3600 + F.minute(dt) * 60).cast("bigint") * F.lit(1_000_000)
+    return F.unix_date(F.to_date(dt)).cast("bigint") * F.lit(86_400_000_000) + clock + (F.date_part(F.lit("SECOND"), dt) * 1_000_000).cast("bigint")
 
 
 def newest(r: Rows) -> Column:

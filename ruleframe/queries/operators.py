@@ -32,7 +32,8 @@ def p4_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_window_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features.features_long(*_tables(spark, folder), AS_OF, (30, 365))
+    long = features.features_long(*_tables(spark, folder), AS_OF, (30, 365))
+    return long.withColumns({c: F.round(c, 4) for c in long.columns if c.startswith("total")})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,3 +61,42 @@ def p6_note_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p4_features, p4_window_features, p5_found, p5_kinds, p6_found, p6_totals, p6_note_pairs)}
+
+_NAMES = "SELECT eid, lower(trim(att)) AS att, CASE WHEN regexp_full_match(trim(val), '-?[0-9]+([.][0-9]+)?') THEN CAST(trim(val) AS DOUBLE) END AS num FROM eadv"
+
+SQL = {
+    "p6_found": """
+        WITH k AS (SELECT 'eid' AS field, CAST(eid AS VARCHAR) AS key_value, count(*) AS n FROM eadv GROUP BY eid
+                   UNION ALL SELECT 'att', lower(trim(att)), count(*) FROM eadv GROUP BY 2)
+        SELECT field, key_value FROM k WHERE key_value IS NOT NULL AND n * 20 >= (SELECT count(*) FROM eadv)""",
+    "p6_totals": f"""
+        WITH r AS (SELECT r.*, CASE WHEN c.att IS NOT NULL THEN 1 ELSE 0 END AS listed FROM ({_NAMES}) r LEFT JOIN att_catalog c USING (att))
+        SELECT 'eid' AS field, CAST(eid AS VARCHAR) AS key_value, count(*) AS n, sum(listed)::BIGINT AS n_listed, round(sum(num), 4) AS total FROM r GROUP BY eid
+        UNION ALL SELECT 'att', att, count(*), sum(listed)::BIGINT, round(sum(num), 4) FROM r GROUP BY att""",
+    "p6_note_pairs": f"""
+        WITH r AS ({_NAMES}), notes AS (SELECT r.eid FROM r JOIN att_catalog c USING (att) WHERE c.data_type = 'TEXT')
+        SELECT r.att, count(*) AS n, round(sum(r.num), 4) AS total FROM r JOIN notes USING (eid) GROUP BY r.att""",
+}
+
+_ONCE = """once AS (SELECT DISTINCT e.eid, c.att, c.data_type, c.unit, e.dt, e.val, e.loc FROM eadv e JOIN att_catalog c ON c.att = lower(trim(e.att))
+                   WHERE e.eid IS NOT NULL AND e.dt < TIMESTAMP '2024-01-01')"""
+#: The number a text states, in the forms that occur: steps of one replacement each.
+_NUMBER = r"""
+bare AS (SELECT *, regexp_replace(translate(trim(val, E' \t\n  '), '０１２３４５６７８９', '0123456789'), '^= *|^x +', '') AS a FROM once),
+unmarked AS (SELECT * REPLACE (trim(regexp_replace(a, '([0-9 ]) *(\((H|L)\)|H|L|\*|!|x)$', '\1')) AS a) FROM bare),
+unitless AS (SELECT * REPLACE (CASE WHEN unit IS NOT NULL AND ends_with(a, unit) THEN trim(left(a, length(a) - length(unit))) ELSE a END AS a) FROM unmarked),
+numbers AS (SELECT eid, att, dt, CASE WHEN data_type <> 'NUMERIC' THEN NULL
+    WHEN regexp_full_match(a, '[1-9][0-9]{0,2}([,.\x{202f}\x{a0} ][0-9]{3})[,.][0-9]+') THEN
+        try_cast(replace(regexp_replace(a, '^([1-9][0-9]{0,2})[,.\x{202f}\x{a0} ]', '\1'), ',', '.') AS DOUBLE)
+    WHEN regexp_full_match(a, '[-+]?[0-9]+([.,][0-9]+)?([eE][-+]?[0-9]+)?') THEN try_cast(replace(a, ',', '.') AS DOUBLE) END AS num FROM unitless)"""
+
+SQL |= {
+    "p4_window_features": f"""
+        WITH {_ONCE}, {_NUMBER}
+        SELECT eid, att, count(*) AS n, CAST(date_diff('day', max(dt), TIMESTAMP '2024-01-01') AS INTEGER) AS days_since, round(sum(num), 4) AS total,
+               count(*) FILTER (WHERE dt >= TIMESTAMP '2023-12-02') AS n_30d,
+               CASE WHEN count(num) > 0 THEN round(coalesce(sum(num) FILTER (WHERE dt >= TIMESTAMP '2023-12-02'), 0), 4) END AS total_30d,
+               count(*) FILTER (WHERE dt >= TIMESTAMP '2023-01-01') AS n_365d,
+               CASE WHEN count(num) > 0 THEN round(coalesce(sum(num) FILTER (WHERE dt >= TIMESTAMP '2023-01-01'), 0), 4) END AS total_365d
+        FROM numbers GROUP BY eid, att""",
+}
