@@ -100,3 +100,15 @@ SQL |= {
                CASE WHEN count(num) > 0 THEN round(coalesce(sum(num) FILTER (WHERE dt >= TIMESTAMP '2023-01-01'), 0), 4) END AS total_365d
         FROM numbers GROUP BY eid, att""",
 }
+
+SQL["p1_found"] = (
+    f"""
+        WITH once AS (SELECT e.rid, e.eid, c.att, c.data_type, c.unit, e.dt, e.val, e.loc FROM eadv e JOIN att_catalog c ON c.att = lower(trim(e.att))
+                      WHERE c.data_type <> 'TEXT' AND length(trim(e.val, E' \\t\\n')) > 0), {_NUMBER.replace("numbers AS (SELECT eid,", "numbers AS (SELECT rid, data_type, val, eid,")},"""
+    + r"""
+        words AS (SELECT *, lower(trim(val)) AS w FROM numbers)
+        SELECT rid FROM words WHERE CASE data_type WHEN 'NUMERIC' THEN num IS NULL OR isnan(num) OR isinf(num)
+            WHEN 'BOOLEAN' THEN w NOT IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n', '1', '0')
+            ELSE coalesce(try_strptime(w, ['%Y-%m-%d', '%Y/%m/%d', '%d/%m/%Y', '%d.%m.%Y', '%d %b %Y', '%d-%b-%Y', '%b %d, %Y', '%Y-%m-%dt%H:%M:%S']),
+                          CASE WHEN regexp_full_match(w, '[0-9]{8}') THEN try_strptime(w, '%Y%m%d') END) IS NULL END"""
+)
