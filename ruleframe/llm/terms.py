@@ -4,8 +4,8 @@
 2. A task folds its rows' terms batch by batch in DuckDB (term, occurrences, records), so a frequent term leaves it once per
    batch, and the folded rows go to the radix partition named by leading bits of the term's hash: one folder per partition
    below the shared folder. Nothing is shuffled.
-3. A partition whose files exceed ``max_bytes`` is split by the next bits of the hash into folders of its own, folding again,
-   until all fit or the hash is used up.
+3. Partitions whose files exceed ``max_bytes`` are split by the next bits of the hash, all of a level in one job, folding
+   again, until all fit or the hash is used up.
 4. Every final partition is read by one task and aggregated by DuckDB under ``memory``, which spills to the shared folder.
 
 Defined cases: NULL values and NULL names hold no terms; empty text holds none; a very long text is processed whole; repeated
@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import workspace
@@ -77,17 +77,17 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fold()
 
 
-def _digit(level: int):
-    """The bits of the term's hash that name its partition at a level."""
-    return F.shiftrightunsigned(F.xxhash64("att", "term"), 64 - BITS * (level + 1)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+def _radix(level: int) -> Column:
+    """The leading bits of the term's hash that name its partition at a level."""
+    return F.shiftrightunsigned(F.xxhash64("att", "term"), 64 - BITS * (level + 1))
 
 
 def _spill(counts: DataFrame, path: str, level: int) -> None:
-    counts.mapInArrow(_fold, _COUNTS).withColumn("radix", _digit(level)).write.partitionBy("radix").parquet(path)
+    counts.mapInArrow(_fold, _COUNTS).withColumn("radix", _radix(level)).write.partitionBy("radix").parquet(path)
 
 
 def _sizes(spark: SparkSession, path: str) -> dict[str, int]:
-    """Bytes of each partition folder below ``path``; at most 2 ** BITS folders."""
+    """Bytes of each partition folder below ``path``: 2 ** BITS folders for each partition that was split."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return {s.getPath().toString(): fs.getContentSummary(s.getPath()).getLength() for s in fs.listStatus(p) if s.isDirectory()}
@@ -121,17 +121,16 @@ def counts(eadv: DataFrame, catalog: DataFrame, max_bytes: int = MAX_BYTES) -> D
     """``att, term, occurrences, records`` of every term of every catalogued TEXT name."""
     spark = eadv.sparkSession
     root = workspace(spark, "terms")
-    _spill(row_terms(eadv, catalog).withColumn("records", F.lit(1).cast("long")), f"{root}/0", 0)
-    final, todo, made = [], [(f"{root}/0", 0)], 0
-    while todo:
-        path, level = todo.pop()
-        for folder, size in sorted(_sizes(spark, path).items()):
-            if size > max_bytes and level + 1 < LEVELS:
-                made += 1
-                _spill(spark.read.schema(_COUNTS).parquet(folder), f"{root}/{made}", level + 1)
-                todo.append((f"{root}/{made}", level + 1))
-            else:
-                final.append(folder)
+    rows = row_terms(eadv, catalog).withColumn("records", F.lit(1).cast("long"))
+    final: list[str] = []
+    for level in range(LEVELS):
+        _spill(rows, f"{root}/{level}", level)
+        sizes = _sizes(spark, f"{root}/{level}")
+        split = [f for f, size in sorted(sizes.items()) if size > max_bytes and level + 1 < LEVELS]
+        final += [f for f in sorted(sizes) if f not in set(split)]
+        if not split:
+            break
+        rows = spark.read.schema(_COUNTS).option("recursiveFileLookup", "true").parquet(*split)
     if not final:
         return spark.createDataFrame([], _COUNTS)
     # a task per final partition: folders are read as one table, hashed by folder
