@@ -116,21 +116,27 @@ def _median(values: list[Column]) -> Column:
     return let(F.sort_array(F.array_compact(F.array(*values))), middle)
 
 
+_ORDER = "PARTITION BY eid, att_id, chunk ORDER BY dt, num, rid"
+
+
 def observed(rows: DataFrame) -> DataFrame:
     """Per reading: level before and after, residual, how far off both levels it is, and the run of its number.
 
-    One shuffle by (source, chunk), one sort. Copies of a reading and impossible readings are no neighbours of others.
+    One shuffle by (source, chunk), one sort. Copies of a reading, impossible readings, and one of two readings at the same
+    time that breaks a repetition which the other continues, are no neighbours of others.
     """
     by = ["eid", "att_id", "chunk"]
     w = Window.partitionBy(*by).orderBy("dt", "num", "rid")
     again = F.coalesce((F.lag("dt").over(w) == F.col("dt")) & (F.lag("num").over(w) == F.col("num")), F.lit(False))
     rows = rows.withColumn("first", ~again)
     bad = F.coalesce(F.col("num") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("num") > F.col("hi"), F.lit(False))
-    rows = rows.withColumn("bad", bad).withColumn("v", F.when(F.col("first") & ~F.col("bad"), F.col("num")))
+    rows = rows.withColumn("bad", bad).withColumn("s", F.when(F.col("first") & ~F.col("bad"), F.struct("dt", "num")))
+    rows = rows.withColumns({n: F.expr(f"{f}(s, {k}) IGNORE NULLS OVER ({_ORDER})") for n, f, k in (("p1", "lag", 1), ("p2", "lag", 2), ("q1", "lead", 1), ("q2", "lead", 2))})
+    rows = rows.withColumn("v", F.when(F.col("s").isNotNull() & ~_contradicted(), F.col("num"))).drop("s", "p1", "p2", "q1", "q2")
     near = {}
     for k in range(1, RUN):
-        near[f"a{k}"] = F.expr(f"lag(v, {k}) IGNORE NULLS OVER (PARTITION BY eid, att_id, chunk ORDER BY dt, num, rid)")
-        near[f"b{k}"] = F.expr(f"lead(v, {k}) IGNORE NULLS OVER (PARTITION BY eid, att_id, chunk ORDER BY dt, num, rid)")
+        near[f"a{k}"] = F.expr(f"lag(v, {k}) IGNORE NULLS OVER ({_ORDER})")
+        near[f"b{k}"] = F.expr(f"lead(v, {k}) IGNORE NULLS OVER ({_ORDER})")
     rows = rows.withColumns(near).where("not halo")
     c = F.col
     same = {s: sum((F.when(F.coalesce(_all_equal(s, k), F.lit(False)), 1).otherwise(0) for k in range(1, RUN)), F.lit(0)) for s in "ab"}
@@ -147,6 +153,16 @@ def observed(rows: DataFrame) -> DataFrame:
     )
 
 
+def _contradicted() -> Column:
+    """A reading that shares its time with another one, where the other one and not this one repeats a neighbour in time."""
+    c = F.col
+    other_next, other_before = c("q1.dt") == c("dt"), c("p1.dt") == c("dt")
+    mine = lambda x, p, q: F.coalesce(x == p, F.lit(False)) | F.coalesce(x == q, F.lit(False))
+    a = other_next & ~mine(c("num"), c("p1.num"), c("q2.num")) & mine(c("q1.num"), c("p1.num"), c("q2.num"))
+    b = other_before & ~mine(c("num"), c("p2.num"), c("q1.num")) & mine(c("p1.num"), c("p2.num"), c("q1.num"))
+    return F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+
+
 def _all_equal(side: str, k: int) -> Column:
     out = F.col(f"{side}1") == F.col("num")
     for i in range(2, k + 1):

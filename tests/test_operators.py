@@ -128,6 +128,10 @@ def test_spikes_stuck_and_impossible(spark, catalog):
     lone = [(None, "lab_k", T0, "99"), (None, "lab_k", T0, "4"), (6, "lab_k", None, "0.1"), (6, "lab_k", T0, "no number"), (6, "note", T0, "99"), (6, "enc_n", T0, "999")]
     n = len(rows)
     assert verdicts(spark, catalog, rows + copies + lone) == want | {n + 1: "spike", n + 3: "stuck", n + 4: "impossible", n + 6: "impossible"}
+    # another reading at the same time neither breaks a stretch nor joins it
+    contradiction = [(4, "lab_free", rows[at(4, 13) - 1][2], x) for x in ("103", "100")]
+    for c in contradiction:
+        assert verdicts(spark, catalog, [*rows, c]) == want
     assert verdicts(spark, catalog, []) == {}
 
 
