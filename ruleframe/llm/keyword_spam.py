@@ -27,10 +27,10 @@ LEAST_WORDS = 12
 
 #: Frequent function words by language; words usual in search phrases (for, near, de, à) are left out.
 FUNCTION_WORDS = {
-    "en": "the a an and or but is was were are be been it its i you he she they we our my your his their this that these those which who what when if not never so than then there has have had do does did would will can could should at on in from with by as until before although though because just only still any some here how".split(),
+    "en": "the a an and or but is was were are be been it its i you he she they we our my your his their this that these those which who what when if not never so than then there has have had do does did would will can could should at on in from with by as until before although though because just only still any some here how to of up out first one".split(),
     "de": "der die das ein eine einen und oder aber ist war wurde ich du er sie es wir mein meine dein mich mir sich nicht noch so wie was wenn weil obwohl nach vor am im zum zur mit auf hat habe hatte musste an".split(),
     "fr": "le la les un une et ou mais est était a été j'ai il elle je tu nous on mon ma ton ta ce cette que qui ne pas plus si mais parce par avec sur dans n'est ne tout encore".split(),
-    "es": "el la los las un una y o pero es era fue está estaba yo tu se me mi que no ya si porque por con en sin al del lo más como todo otra esta este".split(),
+    "es": "el la los las un una y o pero es era fue está estaba yo tu se mi que no ya si porque por con en sin al del lo más como todo otra esta este".split(),
     "ru": "и а но не на в с из что как это я ты он она мы вы мой всё был была было были стал стала так ещё уже после перед по".split(),
     "el": "ο η το οι τα του της και ή αλλά είναι ήταν δεν να που με στο στη από για τον την μου σου πριν μετά χθες".split(),
     "ar": "هل لست لكنني والآن وهذا الآن أمس شيء عند حتى كنت في من على أن إلى لم لا ما هذا هذه كان كانت قد و ثم بعد قبل لكن مع الذي التي كل".split(),
@@ -54,9 +54,12 @@ _ENTITY = {"&gt;": ">", "&lt;": "<", "&amp;": "&", "&nbsp;": " ", "&quot;": '"',
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = regex.compile(r"[\p{L}\p{N}@][\p{L}\p{M}\p{N}@]*(?:['’][\p{L}\p{M}]+)*")
 _SEGMENT = re.compile(r"([.!?।;|•·/]+)(?=\s|$)|([。！？؟]+)|\s[-–—/|•·*+>]+\s|[\n\r|•·]+")
-_ENDS = frozenset(".!?।。！？؟;")
+_ENDS = frozenset(".!?।。！？؟")
+_GREEK = re.compile(r"[\u0370-\u03ff]")
 _STRETCHED = re.compile(r"(.)\1{3}")
-_NO_SPACE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
+#: Letters of scripts without spaces, and the particles that clauses in them hold.
+_NO_SPACE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
+_PARTICLES = re.compile(r"[をはがにでともの的了是我在不这有]")
 
 
 def own_text(text: str) -> str:
@@ -78,9 +81,9 @@ def own_text(text: str) -> str:
         elif not "".join(out).strip():
             out.append(t[at:])  # a quote that never ends is no reason to drop the whole post
         t = "\n".join(out)
-    t = _BREAK.sub("\n", _CODE.sub("\n", t))
-    lines = []
-    for line in t.split("\n"):
+    t = "\n".join(line for line in _CODE.sub("\n", t).split("\n") if not line.lstrip().startswith((">", "|")))  # breaks inside a quoted line belong to it
+    lines: list[str] = []
+    for line in _BREAK.sub("\n", t).split("\n"):
         s = line.strip()
         if s.startswith((">", "|")) or _WROTE.match(s):
             continue
@@ -96,12 +99,16 @@ def _link_words(m: re.Match) -> str:
     return f" {host.replace('.', 'x').replace('-', 'x').rstrip('x')} {regex.sub(r'[^\p{L}]+', ' ', path)} "
 
 
-def words_and_segments(own: str) -> tuple[list[str], list[int], list[bool]]:
-    """Words in order, numbers and stretched words left out, the segment of each; per segment whether it is set like a sentence."""
+def words_and_segments(own: str) -> tuple[list[str], list[int], list[bool], int]:
+    """Words in order, numbers and stretched words left out, the segment of each; per segment whether it is set like a sentence.
+
+    And the number of all words, numbers included.
+    """
     links = " \n ".join(_HREF.findall(own))
     words: list[str] = []
     segment: list[int] = []
     sentence: list[bool] = []
+    every = 0
     for part in (_TAG.sub(" ", own), links):
         part = _LINK.sub(_link_words, part)
         at = 0
@@ -109,12 +116,15 @@ def words_and_segments(own: str) -> tuple[list[str], list[int], list[bool]]:
             piece = part[at : m.start() if m else len(part)]
             at = m.end() if m else 0
             first = piece.lstrip(" \t\u00a1\u00bf\"'(")[:1]
-            sentence.append(bool(m and (m.group(1) or m.group(2) or " ")[0] in _ENDS and first and not first.islower()))
+            end = (m.group(1) or m.group(2) or " ")[0] if m else " "
+            ends = end in _ENDS or end == ";" and bool(_GREEK.search(piece))  # the Greek question mark
+            sentence.append(bool(ends and first and not first.islower()))
             for w in _WORD.findall(_CAMEL.sub(" ", piece).replace("_", " ").replace("+", " ").replace("%20", " ")):
+                every += 1
                 if not w.isdecimal() and not _STRETCHED.search(w):
                     words.append(w.lower().replace("’", "'"))
                     segment.append(len(sentence) - 1)
-    return words, segment, sentence
+    return words, segment, sentence, every
 
 
 def repeated(words: list[str], least: int = 2) -> tuple[list[bool], float]:
@@ -182,9 +192,8 @@ def measure(text: str | None) -> tuple[int, float, float, float, float]:
     """Own words, share of characters in repeats, share of words in one phrase, share of words outside clauses, share of repeats among those."""
     if not text or not text.strip():
         return 0, 0.0, 0.0, 0.0, 0.0
-    words, segment, sentence = words_and_segments(own_text(text))
-    n = len(words)
-    if n < LEAST_WORDS:
+    words, segment, sentence, n = words_and_segments(own_text(text))
+    if n < LEAST_WORDS or not words:
         return n, 0.0, 0.0, 0.0, 0.0
     rep, top = repeated(words)
     total = sum(map(len, words))
@@ -195,10 +204,10 @@ def measure(text: str | None) -> tuple[int, float, float, float, float]:
     outside, outside_rep, weight = 0, 0, 0
     for k, at in by.items():
         chars = sum(min(len(words[i]), 10) for i in at)
-        spaceless = sum(bool(_NO_SPACE.search(words[i])) for i in at)
+        spaceless = "".join(words[i] for i in at if _NO_SPACE.search(words[i]))
         spelled = 2 * sum(len(words[i]) == 1 for i in at) > len(at)  # letters set apart
-        function = 0 if spelled else sum(words[i] in _FUNCTION or words[i].endswith(_KOREAN_ENDS) for i in at)
-        clause = (len(at) >= 3 and function >= max(1, 0.15 * len(at))) or (sentence[k] and not spelled and 2 <= len(at) <= 40) or (spaceless and max(len(words[i]) for i in at) >= 8)
+        function = 0 if spelled else sum(words[i] in _FUNCTION or words[i].partition("'")[0] in _FUNCTION or words[i].endswith(_KOREAN_ENDS) for i in at)
+        clause = (len(at) >= 3 and function >= max(1, 0.15 * len(at))) or (sentence[k] and not spelled and 2 <= len(at) <= 40) or (len(spaceless) >= 8 and len(_PARTICLES.findall(spaceless)) >= 2)
         weight += chars
         if not clause:
             outside += chars
