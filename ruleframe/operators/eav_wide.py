@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import encoded, trimmed
@@ -26,30 +26,39 @@ from ..sources.tables import Attribute, attributes, catalogued
 
 #: Attributes per block.
 BLOCK = 128
+#: Kinds of cells.
+VALUE, REJECT, NOBODY = 0, 1, 2
 
 
 def cells(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per (entity, attribute) with its newest readable value, and one per row that cannot be read.
 
-    Columns: ``eid, kind, reject, att_id, num, txt``; ``kind`` is 1 for a reject, whose ``reject`` is its ``rid``, else 0.
+    Columns: ``eid, kind, reject, att_id, num, txt``; ``reject`` is the ``rid`` of a row of kind ``REJECT``, else 0. Readable rows
+    without an entity are of kind ``NOBODY``.
     """
     rows = catalogued(eadv, catalog, ["rid", "eid", "att", "dt", "val"])
     rows = rows.select("rid", "eid", "att_id", "dt", "val", "data_type", encoded(F.col("val"), F.col("data_type"), F.col("unit")).alias("num"))
     text = F.col("data_type") == "TEXT"
     filled = F.length(trimmed(F.col("val"))) > 0
-    kind = F.when(~text & F.col("num").isNull() & filled, F.lit(1)).when(filled & F.col("eid").isNotNull(), F.lit(0))
-    rows = rows.withColumn("kind", kind).where("kind is not null")
+    # nothing that depends on the value read is filtered here: the filter would be pushed down and read every text twice
+    kind = F.when(~text & F.col("num").isNull(), F.lit(REJECT)).when(F.col("eid").isNotNull(), F.lit(VALUE)).otherwise(F.lit(NOBODY))
+    rows = rows.where(filled).withColumn("kind", kind)
     value = F.struct(F.struct("dt", "rid").alias("at"), "num", F.when(text, F.col("val")).alias("txt"))
-    best = rows.groupBy("eid", "kind", F.when(F.col("kind") == 1, F.col("rid")).otherwise(F.lit(0)).alias("reject"), "att_id").agg(F.max(F.when(F.col("kind") == 0, value)).alias("v"))
+    best = rows.groupBy("eid", "kind", F.when(F.col("kind") == REJECT, F.col("rid")).otherwise(F.lit(0)).alias("reject"), "att_id").agg(F.max(F.when(F.col("kind") == VALUE, value)).alias("v"))
     return best.select("eid", "kind", "reject", "att_id", "v.num", "v.txt")
 
 
-def _typed(a: Attribute, number: Column) -> Column:
+def _typed(a: Attribute, column: str) -> str:
+    """SQL of a cell in its type. Wide projections are written as SQL: a thousand Column objects take seconds to build."""
     if a.data_type == "BOOLEAN":
-        return number != 0
+        return f"{column} != 0D"
     if a.data_type == "DATE":
-        return F.date_add(F.lit("1970-01-01").cast("date"), number.cast("int"))
-    return number
+        return f"date_add(DATE'1970-01-01', CAST({column} AS int))"
+    return column
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def reshape(eadv: DataFrame, catalog: DataFrame, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
@@ -72,23 +81,25 @@ def reshape(eadv: DataFrame, catalog: DataFrame, block: int = BLOCK, buckets: in
     stored = cells(eadv, catalog).join(F.broadcast(lookup), "att_id").select(F.coalesce("eid", F.lit(0)).alias("eid"), "kind", F.coalesce("reject", F.lit(0)).alias("reject"), "att_id", "num", "txt", "block")
     stored.repartition(n, *key).write.partitionBy("block").bucketBy(n, *key).sortBy(*key).option("path", workspace(spark, "cells")).saveAsTable(name)
 
-    wide = spark.table(name).select(*key).distinct()
-    columns: dict[int, Column] = {}
+    table = spark.table(name).where(F.col("kind") != NOBODY)
+    wide = table.select(*key).distinct()
+    columns: dict[int, str] = {}
     for b, members in enumerate(blocks):
-        part = spark.table(name).where(F.col("block") == b)
+        part = table.where(F.col("block") == b)
         if members[0][1].data_type == "TEXT":
-            values = [F.max(F.when(F.col("att_id") == i, F.col("txt"))).alias(f"c{i}") for i, _ in members]
-            pivoted = part.groupBy(*key).agg(F.max("kind").alias(f"r{b}"), *values)
+            pivoted = part.groupBy(*key).agg(F.max("kind").alias(f"r{b}"), *(F.expr(f"max(CASE WHEN att_id = {i} THEN txt END) AS c{i}") for i, _ in members))
+            kept = [f"r{b}", *(f"c{i}" for i, _ in members)]
         else:
-            ids = [i for i, _ in members]
-            slots = part.groupBy(*key).pivot("att_id", ids).agg(F.max("num"))
-            pivoted = slots.select(*key, F.col("kind").alias(f"r{b}"), *(F.col(f"`{i}`").alias(f"c{i}") for i in ids))
-        pivoted = pivoted.select(*(F.col(k).alias(f"{k}_{b}") for k in key), *(c for c in pivoted.columns if c not in key))
+            pivoted = part.groupBy(*key).pivot("att_id", [i for i, _ in members]).agg(F.max("num"))
+            kept = [f"kind AS r{b}", *(f"`{i}` AS c{i}" for i, _ in members)]
+        pivoted = pivoted.selectExpr(*(f"{k} AS {k}_{b}" for k in key), *kept)
         wide = wide.join(pivoted.hint("merge"), [wide[k] == pivoted[f"{k}_{b}"] for k in key], "left")
-        columns |= {i: _typed(a, F.col(f"c{i}")) for i, a in members}
-    rejected = F.coalesce(*(F.col(f"r{b}") for b in range(len(blocks))), F.lit(0)) == 1 if blocks else F.lit(False)
+        columns |= {i: _typed(a, f"c{i}") for i, a in members}
+    rejected = f"coalesce({', '.join(f'r{b}' for b in range(len(blocks)))}, {VALUE}) = {REJECT}" if blocks else "false"
     label = {i: f"att_{a.att}" if a.att in ("eid", "rejected_rid") else a.att for i, a in enumerate(names)}
-    return wide.select(F.when(~rejected, F.col("eid")).alias("eid"), F.when(rejected, F.col("reject")).alias("rejected_rid"), *(columns[i].alias(label[i]) for i in sorted(columns)))
+    return wide.selectExpr(
+        f"CASE WHEN NOT ({rejected}) THEN eid END AS eid", f"CASE WHEN {rejected} THEN reject END AS rejected_rid", *(f"{columns[i]} AS {quoted(label[i])}" for i in sorted(columns))
+    )
 
 
 def wide(eadv: DataFrame, catalog: DataFrame, **options: int) -> DataFrame:
