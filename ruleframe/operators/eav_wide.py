@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import encoded, trimmed
-from ..session import partitions, workspace
+from ..session import partitions, spread, workspace
 from ..sources.tables import Attribute, attributes, catalogued
 
 #: Attributes per block.
@@ -36,7 +36,8 @@ def cells(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
     Columns: ``eid, kind, reject, att_id, num, txt``; ``reject`` is the ``rid`` of a row of kind ``REJECT``, else 0. Readable rows
     without an entity are of kind ``NOBODY``.
     """
-    rows = catalogued(eadv, catalog, ["rid", "eid", "att", "dt", "val"])
+    columns = ["rid", "eid", "att", "dt", "val"]
+    rows = catalogued(spread(eadv.select(*columns)), catalog, columns)
     rows = rows.select("rid", "eid", "att_id", "dt", "val", "data_type", encoded(F.col("val"), F.col("data_type"), F.col("unit")).alias("num"))
     text = F.col("data_type") == "TEXT"
     filled = F.length(trimmed(F.col("val"))) > 0

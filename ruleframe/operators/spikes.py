@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import let, number
-from ..session import materialize, small
+from ..session import materialize, small, spread
 from ..sources.tables import catalogued
 
 #: Readings of one number in a row that make a stuck stretch.
@@ -54,10 +54,13 @@ HALO = 200
 
 
 def readings(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``rid, eid, att_id, dt, num, lo, hi`` of every row with a catalogued measurement and a readable number."""
+    """``rid, eid, att_id, dt, num, lo, hi`` of every row with a catalogued measurement; ``num`` is NULL if it states no number.
+
+    Rows without a number are left out only after the window stage: a filter here would be pushed down and read every text twice.
+    """
     known = catalog.select("*", *(F.when(~F.isnan(c), F.col(c)).alias(n) for c, n in (("phys_low", "lo"), ("phys_high", "hi"))))
-    rows = catalogued(eadv, known, ["rid", "eid", "att", "dt", "val"], ("NUMERIC",), extra=("lo", "hi")).where("unit is not null")
-    return rows.select("rid", "eid", "att_id", "dt", number(F.col("val"), F.col("unit")).alias("num"), "lo", "hi").where("num is not null")
+    rows = catalogued(spread(eadv.select("rid", "eid", "att", "dt", "val")), known, ["rid", "eid", "att", "dt", "val"], ("NUMERIC",), extra=("lo", "hi")).where("unit is not null")
+    return rows.select("rid", "eid", "att_id", "dt", number(F.col("val"), F.col("unit")).alias("num"), "lo", "hi")
 
 
 def _chunks(eadv: DataFrame, catalog: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame] | None:
@@ -130,14 +133,14 @@ def observed(rows: DataFrame) -> DataFrame:
     again = F.coalesce((F.lag("dt").over(w) == F.col("dt")) & (F.lag("num").over(w) == F.col("num")), F.lit(False))
     rows = rows.withColumn("first", ~again)
     bad = F.coalesce(F.col("num") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("num") > F.col("hi"), F.lit(False))
-    rows = rows.withColumn("bad", bad).withColumn("s", F.when(F.col("first") & ~F.col("bad"), F.struct("dt", "num")))
+    rows = rows.withColumn("bad", bad).withColumn("s", F.when(F.col("first") & ~F.col("bad") & F.col("num").isNotNull(), F.struct("dt", "num")))
     rows = rows.withColumns({n: F.expr(f"{f}(s, {k}) IGNORE NULLS OVER ({_ORDER})") for n, f, k in (("p1", "lag", 1), ("p2", "lag", 2), ("q1", "lead", 1), ("q2", "lead", 2))})
     rows = rows.withColumn("v", F.when(F.col("s").isNotNull() & ~_contradicted(), F.col("num"))).drop("s", "p1", "p2", "q1", "q2")
     near = {}
     for k in range(1, RUN):
         near[f"a{k}"] = F.expr(f"lag(v, {k}) IGNORE NULLS OVER ({_ORDER})")
         near[f"b{k}"] = F.expr(f"lead(v, {k}) IGNORE NULLS OVER ({_ORDER})")
-    rows = rows.withColumns(near).where("not halo")
+    rows = rows.withColumns(near).where("not halo and num is not null")
     c = F.col
     same = {s: sum((F.when(F.coalesce(_all_equal(s, k), F.lit(False)), 1).otherwise(0) for k in range(1, RUN)), F.lit(0)) for s in "ab"}
     rows = rows.withColumns({
