@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Where the public vocabularies lie, and the vocabulary of the registered queries.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -158,7 +160,7 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOC
                 flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def sizes(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -173,4 +175,4 @@ def sizes(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS, vocab
             counts = [len(x) for k in range(0, batch.num_rows, SLICE) for x in e.encode(text.slice(k, SLICE).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int32())], [*keep, "tokens"])
 
-    return documents.select(*keep, "text").mapInArrow(run, out)
+    return spread(documents.select(*keep, "text")).mapInArrow(run, out)

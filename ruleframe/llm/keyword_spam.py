@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 LEAST_WORDS = 12
 
 #: Frequent function words by language; words usual in search phrases (for, near, de, à) are left out.
@@ -230,7 +232,7 @@ def scores(documents: DataFrame) -> DataFrame:
                 [b.column("doc_id"), *columns, pa.array([is_spam(*r) for r in rows], pa.bool_())], ["doc_id", "n_words", "cover", "top", "outside", "outside_repeated", "spam"]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words int, cover double, top double, outside double, outside_repeated double, spam boolean")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words int, cover double, top double, outside double, outside_repeated double, spam boolean")
 
 
 def found(documents: DataFrame) -> DataFrame:
