@@ -45,7 +45,11 @@ _FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
 
 _QUOTE_TAG = re.compile(r"\[(quote|QUOTE)[^\]]{0,200}\]|\[/(quote|QUOTE)\]")
 _BLOCK = re.compile(r"<blockquote[^>]*>|</blockquote>", re.I)
-_CODE = re.compile(r"\[code\].*?(?:\[/code\]|$)|<pre[^>]*>.*?(?:</pre>|$)|```.*?(?:```|$)", re.S | re.I)
+#: A quoted line, or a code block with its end that starts outside quoted lines; one that starts anew before its end has none.
+_QUOTED_OR_CODE = re.compile(r"^[^\S\n]*[>|][^\n]*|\[code\](?:(?!\[code\]).)*?\[/code\]|<pre\b[^>]*>(?:(?!<pre\b).)*?</pre>|```.*?```", re.S | re.I | re.M)
+_CODE_START = re.compile(r"\[code\]|<pre\b[^>]*>|```", re.I)
+#: What lines of a code block without an end look like: a time or date first, name=value, an assignment, brackets of a program.
+_CODE_LINE = re.compile(r"^\W*(?:\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2})|\w(?:[-+!:<>=]?=|->|::)|^\s*[\w.]+ [-+*/:]?= \S|^\s*[{}]|[({].*[;{]\s*$")
 _BREAK = re.compile(r"<br\s*/?>|</?p>|</?div>|</?li>|</?ul>|</?ol>", re.I)
 _WROTE = re.compile(r"^\W*(?:On\s.{3,40},\s)?\S{2,40}\s+(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 _SIGNATURE = re.compile(r"^\s*(?:-- ?|—|__+|~~+|==+|\*\s?\*\s?\*|\[size=1\].*)\s*$")
@@ -83,7 +87,8 @@ def own_text(text: str) -> str:
         elif not "".join(out).strip():
             out.append(t[at:])  # a quote that never ends is no reason to drop the whole post
         t = "\n".join(out)
-    t = "\n".join(line for line in _CODE.sub("\n", t).split("\n") if not line.lstrip().startswith((">", "|")))  # breaks inside a quoted line belong to it
+    t = _QUOTED_OR_CODE.sub("\n", t)  # quoted lines first, as a quote may break off inside a code block; breaks inside a quoted line belong to it
+    coded = False
     lines: list[str] = []
     for line in _BREAK.sub("\n", t).split("\n"):
         s = line.strip()
@@ -91,6 +96,12 @@ def own_text(text: str) -> str:
             continue
         if _SIGNATURE.match(line) and any(x.strip() for x in lines):
             break
+        if start := _CODE_START.search(line):
+            coded = True
+            lines.append(line[: start.start()])
+            line = line[start.end() :]
+        if coded and _CODE_LINE.search(line) and not _LINK.search(line):
+            continue
         lines.append(line)
     return "\n".join(lines)
 

@@ -256,6 +256,18 @@ def test_spam_and_ham(spark):
     assert keyword_spam.scores(df.limit(0)).count() == 0
 
 
+def test_code_blocks_without_end_take_no_own_words():
+    quote = "| [code]\n| 18:53:07 WARN bearing=43 retry\n| 22:15:34 WARN float=\n\n"
+    log = "11:13:51 WARN bobbin=29 retry\n21:08:53 WARN sel\n"
+    words = lambda t: keyword_spam.own_text(t).split()
+    assert words("On 8 Dec, a_b wrote:\n" + quote + SPAM[0]) == SPAM[0].split()
+    assert words(quote.replace("|", "&gt;") + "Mine is\n[code]\n> a prompt\n" + log + "[/code]\nnew.") == ["Mine", "is", "new."]
+    for start in ("[code]", "```", "<pre>"):
+        assert words(f"{start}\n{log}Mine is new.") == ["Mine", "is", "new."]
+        assert words(f"Mine {start}x = 5\n> {start}\n> b\nis new.") == ["Mine", "is", "new."]
+        assert [keyword_spam.is_spam(*keyword_spam.measure(t)) for t in (quote + SPAM[0], f"{start}\n{SPAM[2]}", f"It printed this on its own.\n{start}\n" + log * 5)] == [True, True, False]
+
+
 def test_a_very_long_page_is_measured_whole():
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("aeioulmnrst", k=6))
