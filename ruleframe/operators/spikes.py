@@ -14,7 +14,8 @@ list of such sources; only that list is broadcast.
 
 Defined cases: rows with NULL ``eid`` or ``dt`` are only held against the limits; a ``val`` that states no number is no reading;
 resent copies (same source, time and number) count once and share the verdict; NaN or NULL limits are unknown; sources of
-fewer than ``least`` readings have no spikes or stretches; an empty table gives no rows.
+fewer than ``least`` delivered rows with a time, copies aside, have no spikes or stretches (rows that are NULL, unreadable or
+impossible are delivered too, though only the others make the sketches); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..sources.tables import catalogued
 
 #: Readings of one number in a row that make a stuck stretch.
 RUN = 6
-#: Readings a source needs to be judged.
+#: Delivered rows, copies aside, that a source needs to be judged.
 LEAST = 20
 #: Interquartile ranges of the residual beyond which a reading is a spike, if it is also SHARE of the level away from it ...
 FENCE = 3.5
@@ -54,13 +55,14 @@ HALO = 200
 
 
 def readings(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``rid, eid, att_id, dt, num, lo, hi`` of every row with a catalogued measurement; ``num`` is NULL if it states no number.
+    """``rid, eid, att_id, dt, num, text, lo, hi`` of every row with a catalogued measurement; ``num`` is NULL if it states no number.
 
-    Rows without a number are left out only after the window stage: a filter here would be pushed down and read every text twice.
+    ``text`` tells values without a number apart and is NULL for numbers. Rows without a number are kept, as they count as delivered.
     """
     known = catalog.select("*", *(F.when(~F.isnan(c), F.col(c)).alias(n) for c, n in (("phys_low", "lo"), ("phys_high", "hi"))))
     rows = catalogued(spread(eadv.select("rid", "eid", "att", "dt", "val")), known, ["rid", "eid", "att", "dt", "val"], ("NUMERIC",), extra=("lo", "hi")).where("unit is not null")
-    return rows.select("rid", "eid", "att_id", "dt", number(F.col("val"), F.col("unit")).alias("num"), "lo", "hi")
+    rows = rows.select("rid", "eid", "att_id", "dt", number(F.col("val"), F.col("unit")).alias("num"), F.xxhash64("val").alias("text"), "lo", "hi")
+    return rows.withColumn("text", F.when(F.col("num").isNull(), F.col("text")))
 
 
 def _chunks(eadv: DataFrame, catalog: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame] | None:
@@ -119,7 +121,7 @@ def _median(values: list[Column]) -> Column:
     return let(F.sort_array(F.array_compact(F.array(*values))), middle)
 
 
-_ORDER = "PARTITION BY eid, att_id, chunk ORDER BY dt, num, rid"
+_ORDER = "PARTITION BY eid, att_id, chunk ORDER BY dt, num, text, rid"
 
 
 def observed(rows: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def observed(rows: DataFrame) -> DataFrame:
     time that breaks a repetition which the other continues, are no neighbours of others.
     """
     by = ["eid", "att_id", "chunk"]
-    w = Window.partitionBy(*by).orderBy("dt", "num", "rid")
-    again = F.coalesce((F.lag("dt").over(w) == F.col("dt")) & (F.lag("num").over(w) == F.col("num")), F.lit(False))
+    w = Window.partitionBy(*by).orderBy("dt", "num", "text", "rid")
+    again = F.coalesce((F.lag("dt").over(w) == F.col("dt")) & F.lag("num").over(w).eqNullSafe(F.col("num")) & F.lag("text").over(w).eqNullSafe(F.col("text")), F.lit(False))
     rows = rows.withColumn("first", ~again)
     bad = F.coalesce(F.col("num") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("num") > F.col("hi"), F.lit(False))
     rows = rows.withColumn("bad", bad).withColumn("s", F.when(F.col("first") & ~F.col("bad") & F.col("num").isNotNull(), F.struct("dt", "num")))
@@ -140,7 +142,7 @@ def observed(rows: DataFrame) -> DataFrame:
     for k in range(1, RUN):
         near[f"a{k}"] = F.expr(f"lag(v, {k}) IGNORE NULLS OVER ({_ORDER})")
         near[f"b{k}"] = F.expr(f"lead(v, {k}) IGNORE NULLS OVER ({_ORDER})")
-    rows = rows.withColumns(near).where("not halo and num is not null")
+    rows = rows.withColumns(near).where("not halo")
     c = F.col
     same = {s: sum((F.when(F.coalesce(_all_equal(s, k), F.lit(False)), 1).otherwise(0) for k in range(1, RUN)), F.lit(0)) for s in "ab"}
     rows = rows.withColumns({
@@ -175,11 +177,13 @@ def _all_equal(side: str, k: int) -> Column:
 
 def _sketches(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Residual quantiles by source and hour context, by source, and how often names repeat a number."""
-    seen = seen.where("first and not bad and eid is not null and dt is not null")
+    delivered = seen.where("first and eid is not null and dt is not null")
+    delivered = delivered.select("eid", "att_id", "context", *(F.when(F.col("num").isNotNull() & ~F.col("bad"), F.col(k)).alias(k) for k in ("residual", "run", "repeats")))
+    seen = delivered.where("run is not null")
     quartiles = F.percentile_approx("residual", [0.25, 0.75], 200)
     free = F.when(F.col("run") < RUN, F.col("repeats").cast("int"))
     by_context = seen.groupBy("eid", "att_id", "context").agg(quartiles.alias("cq"), F.count("residual").alias("cn"))
-    by_source = seen.groupBy("eid", "att_id").agg(quartiles.alias("sq"), F.count(F.lit(1)).alias("n"), F.avg(free).alias("source_repeats"))
+    by_source = delivered.groupBy("eid", "att_id").agg(quartiles.alias("sq"), F.count(F.lit(1)).alias("n"), F.avg(free).alias("source_repeats"))
     by_name = seen.groupBy("att_id").agg(F.avg(F.col("repeats").cast("int")).alias("name_repeats"))
     return by_context, by_source, by_name
 

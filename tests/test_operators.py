@@ -135,6 +135,20 @@ def test_spikes_stuck_and_impossible(spark, catalog):
     assert verdicts(spark, catalog, []) == {}
 
 
+def test_every_delivered_row_counts_for_the_least_number(spark, catalog):
+    rng = random.Random(7)
+    ks = [round(4 + rng.gauss(0, 0.2), 2) for _ in range(17)]
+    ks[8] = 9.0
+    rows = source(1, "lab_k", ks)
+    late = lambda i: T0 + timedelta(days=30, hours=i)
+    others = [(1, "lab_k", late(0), None), (1, "lab_k", late(0), "haemolysed"), (1, "lab_k", late(1), "99")]
+    assert verdicts(spark, catalog, rows + others) == {9: "spike", 20: "impossible"}
+    # copies, of texts too, and rows without a time do not count
+    copies = [*others[:2], others[0], rows[0], (1, "lab_k", None, "4")]
+    assert verdicts(spark, catalog, rows + others[:2] + copies) == {}
+    assert verdicts(spark, catalog, rows + others + copies) == {9: "spike", 20: "impossible"}
+
+
 def test_cutting_a_hot_source_changes_nothing(spark, catalog):
     rng = random.Random(6)
     xs = noisy(rng, 6000)
