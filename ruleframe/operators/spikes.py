@@ -2,7 +2,9 @@
 
 * Impossible: outside the catalogued physical limits of the name.
 * Spike: one or two readings far off the level before and after them. The level is the median of up to three readings on
-  either side, so a drift or a new level that stays is none. "Far" is relative to the interquartile range of the source's
+  either side, so a drift or a new level that stays is none. Near an end of a source, where one side has fewer than ``SIDE``
+  readings, that side's level is the middle one of its reading, the other side's level and the source's median, or the source's
+  median if it has none. "Far" is relative to the interquartile range of the source's
   residuals, taken from quantile sketches that are merged across partitions by hour context, with the whole source as
   fallback where a context holds too few readings.
 * Stuck: ``RUN`` or more readings in a row, at different times, of one number, in a source that normally varies (how often a
@@ -38,7 +40,7 @@ SHARE = 0.21
 #: ... or a spike anyhow; the range counts as RESOLUTION of the level at least.
 FAR = 5.0
 RESOLUTION = 0.04
-#: Readings that a level needs on either side.
+#: Readings that a level needs of its own; with fewer on both sides (a source of three readable readings at most) there is no verdict.
 SIDE = 2
 #: Share of repeated numbers from which a source or a name is taken for a setting, which stays put.
 SETTING = 0.5
@@ -150,14 +152,33 @@ def observed(rows: DataFrame) -> DataFrame:
         "level": _median([c(f"{s}{k}") for s in "ab" for k in (1, 2, 3)]), "run": F.lit(1) + same["a"] + same["b"],
     })
     up, down = c("num") - F.greatest("before", "after"), F.least("before", "after") - c("num")
-    enough = c(f"a{SIDE}").isNotNull() & c(f"b{SIDE}").isNotNull()
+    known = {s: c(f"{s}{SIDE}").isNotNull() for s in "ab"}
+    enough = known["a"] & known["b"]
+    # near an end: the full side's level, the short side's reading, and whether the next reading of the full side is no part of the same excursion
+    ends = {
+        "one": F.when(known["a"] & ~known["b"], c("before")).when(known["b"] & ~known["a"], c("after")),
+        "few": F.when(known["a"] & ~known["b"], c("b1")).when(known["b"] & ~known["a"], c("a1")),
+        "next": F.when(known["a"] & ~known["b"], c("a1")).when(known["b"] & ~known["a"], c("b1")),
+    }
     return rows.select(
         "rid", "eid", "att_id", "dt", "num", "first", "bad", "run", (c("num") - c("level")).alias("residual"), c("level"),
         F.when(enough & ~c("bad"), F.greatest(up, down, F.lit(0.0))).alias("off"), (c("a1") == c("num")).alias("repeats"),
-        F.floor(F.hour("dt") / CONTEXT).alias("context"),
+        F.floor(F.hour("dt") / CONTEXT).alias("context"), *(v.alias(k) for k, v in ends.items()),
     )
 
 
+def _off_at_end() -> Column:
+    """How far a reading near an end of its source is off the full side's level and what stands for the short side's.
+
+    The short side's one reading may be the second one of a spike, so it is checked against the other side and the source's
+    median; not if the full side's next reading is of the same excursion, which then is longer than a spike: a new level.
+    """
+    c = F.col
+    longer = F.abs(c("num") - c("next")) < F.abs(c("next") - c("one"))
+    short = F.when(c("few").isNull(), c("middle")).when(longer, c("few")).otherwise(_median([c("few"), c("one"), c("middle")]))
+    return F.greatest(c("num") - F.greatest("one", short), F.least("one", short) - c("num"), F.lit(0.0))
+
+
 def _contradicted() -> Column:
     """A reading that shares its time with another one, where the other one and not this one repeats a neighbour in time."""
     c = F.col
@@ -178,12 +199,12 @@ def _all_equal(side: str, k: int) -> Column:
 def _sketches(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Residual quantiles by source and hour context, by source, and how often names repeat a number."""
     delivered = seen.where("first and eid is not null and dt is not null")
-    delivered = delivered.select("eid", "att_id", "context", *(F.when(F.col("num").isNotNull() & ~F.col("bad"), F.col(k)).alias(k) for k in ("residual", "run", "repeats")))
+    delivered = delivered.select("eid", "att_id", "context", *(F.when(F.col("num").isNotNull() & ~F.col("bad"), F.col(k)).alias(k) for k in ("num", "residual", "run", "repeats")))
     seen = delivered.where("run is not null")
     quartiles = F.percentile_approx("residual", [0.25, 0.75], 200)
     free = F.when(F.col("run") < RUN, F.col("repeats").cast("int"))
     by_context = seen.groupBy("eid", "att_id", "context").agg(quartiles.alias("cq"), F.count("residual").alias("cn"))
-    by_source = delivered.groupBy("eid", "att_id").agg(quartiles.alias("sq"), F.count(F.lit(1)).alias("n"), F.avg(free).alias("source_repeats"))
+    by_source = delivered.groupBy("eid", "att_id").agg(quartiles.alias("sq"), F.percentile_approx("num", 0.5, 200).alias("middle"), F.count(F.lit(1)).alias("n"), F.avg(free).alias("source_repeats"))
     by_name = seen.groupBy("att_id").agg(F.avg(F.col("repeats").cast("int")).alias("name_repeats"))
     return by_context, by_source, by_name
 
@@ -194,9 +215,10 @@ def judged(eadv: DataFrame, catalog: DataFrame, least: int = LEAST, heavy: int =
     by_context, by_source, by_name = _sketches(seen)
     iqr = lambda q: F.get(q, F.lit(1)) - F.get(q, F.lit(0))
     c = F.col
-    suspects = seen.where(f"first and not bad and (run >= {RUN} or off > 0)").drop("repeats")
+    suspects = seen.where(f"first and not bad and num is not null and (run >= {RUN} or off > 0 or one is not null)").drop("repeats")
     j = suspects.join(by_source.where(c("n") >= least), ["eid", "att_id"]).join(by_context, ["eid", "att_id", "context"], "left").join(F.broadcast(by_name), "att_id")
     j = j.where((F.coalesce("source_repeats", F.lit(1.0)) < SETTING) & (F.coalesce("name_repeats", F.lit(1.0)) < SETTING))
+    j = j.withColumn("off", F.when(c("one").isNotNull(), _off_at_end()).otherwise(c("off")))
     spread = F.when(c("cn") >= CONTEXT_LEAST, F.greatest(iqr("cq"), iqr("sq") / 2)).otherwise(iqr("sq"))
     level = F.abs("level")
     spike = ((c("off") > FENCE * spread) & (c("off") > SHARE * level)) | (c("off") > FAR * F.greatest(spread, RESOLUTION * level))

@@ -149,6 +149,26 @@ def test_every_delivered_row_counts_for_the_least_number(spark, catalog):
     assert verdicts(spark, catalog, rows + others + copies) == {9: "spike", 20: "impossible"}
 
 
+def test_spikes_near_the_ends_of_a_source(spark, catalog):
+    rng = random.Random(8)
+    spiked = {1: (0,), 2: (1,), 3: (0, 1), 4: (38,), 5: (39,), 6: (38, 39), 7: (1, 2), 8: (37, 38), 9: (), 10: ()}
+    rows, want = [], {}
+    for eid, at in spiked.items():
+        xs = noisy(rng, 40)
+        for i in at:
+            xs[i] = 210.0 + i % 2
+        if eid == 9:  # new levels that stay
+            xs[:3], xs[-3:] = [200.0, 203.0, 201.0], [40.0, 42.0, 41.0]
+        if eid == 10:
+            xs = [round(100 + 3 * i + rng.gauss(0, 2), 1) for i in range(40)]
+        want |= {len(rows) + 1 + i: "spike" for i in at}
+        rows += source(eid, "lab_free", xs)
+    assert verdicts(spark, catalog, rows) == want
+    unread = [(11, "lab_free", T0 + timedelta(hours=-1), "less than 90"), *source(11, "lab_free", [101.0, 30.0, *noisy(rng, 30)])]
+    assert verdicts(spark, catalog, unread + [unread[2]]) == {3: "spike", len(unread) + 1: "spike"}
+    assert verdicts(spark, catalog, source(12, "lab_free", [5.0, 90.0, 6.0]), least=3) == {}
+
+
 def test_cutting_a_hot_source_changes_nothing(spark, catalog):
     rng = random.Random(6)
     xs = noisy(rng, 6000)
