@@ -11,7 +11,8 @@
   reading repeats the one before is counted per source and per name, stuck stretches left aside).
 
 Sources of more than ``heavy`` rows are cut along time into chunks of about that size, each with a halo of neighbouring
-readings, so no task holds a whole hot source; the result is the same. The limit grows with the table, which bounds the
+readings, so no task holds a whole hot source; the result is the same, bursts or not, as long as ``HALO`` rows hold the few
+readings that a neighbour needs. The limit grows with the table, which bounds the
 list of such sources; only that list is broadcast.
 
 Defined cases: rows with NULL ``eid`` or ``dt`` are only held against the limits; a ``val`` that states no number is no reading;
@@ -50,9 +51,9 @@ CONTEXT = 6
 CONTEXT_LEAST = 40
 #: At most so many sources are cut into chunks: a proven bound of the broadcast list (about 8 MB).
 HEAVY_SOURCES = 200_000
-#: Buckets of time that a chunk has on average.
+#: Buckets of time that a chunk has on average, and parts of a bucket that is split again.
 PARTS = 64
-#: Rows on either side of a chunk that it sees besides its own.
+#: Rows on either side of a chunk that it sees besides its own, at least.
 HALO = 200
 
 
@@ -71,33 +72,55 @@ def _chunks(eadv: DataFrame, catalog: DataFrame, heavy: int) -> tuple[DataFrame,
     """How sources of more than ``limit`` rows are cut; None if there are none.
 
     First ``eid, att_id, t0, width`` of each such source: at most ``HEAVY_SOURCES`` rows, as the limit grows with the table.
-    Then ``eid, att_id, bucket, places``: a source's time is split into buckets of ``width``, buckets in order make chunks of
-    about ``limit`` rows, and buckets within ``HALO`` rows of a chunk's edge are also halo of the next chunk.
+    Then ``eid, att_id, bucket, places``: the chunks, with their times and those of their halo, that a bucket of ``width`` meets.
+
+    A source's time is split into buckets, those of more than ``limit`` rows (bursts) again until they hold fewer or are one
+    instant. Buckets in order make chunks of about ``limit`` rows, twice that at most but for one instant, which is never split.
+    The halo of a chunk reaches over at least ``HALO`` rows on either side, however far away in time and over however many chunks.
     """
     rows = catalogued(eadv, catalog, ["eid", "att", "dt"], ("NUMERIC",)).where("unit is not null and eid is not null and dt is not null")
     rows = rows.select("eid", "att_id", _micros().alias("us"))
     limit = max(heavy, eadv.count() // HEAVY_SOURCES + 1)
     large = rows.groupBy("eid", "att_id").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("t0"), F.max("us").alias("t1")).where(F.col("n") > limit)
-    width = F.ceil((F.col("t1") - F.col("t0") + 1) / (F.ceil(F.col("n") / limit) * PARTS))
-    large = materialize(large.select("eid", "att_id", "t0", width.alias("width")), "heavy")
+    large = materialize(large.select("eid", "att_id", "t0", "t1", _width(F.col("t1") - F.col("t0") + 1, limit).alias("width")), "heavy")
     if large.isEmpty():
         return None
-    counts = rows.join(F.broadcast(large), ["eid", "att_id"]).groupBy("eid", "att_id", _bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    source = Window.partitionBy("eid", "att_id").orderBy("bucket")
-    counts = counts.withColumn("chunk", F.floor((F.sum("n").over(source) - F.col("n")) / limit).cast("int"))
-    chunk = Window.partitionBy("eid", "att_id", "chunk").orderBy("bucket")
-    counts = counts.withColumn("upto", F.sum("n").over(chunk)).withColumn("all", F.sum("n").over(chunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    near = F.array_compact(F.array(F.when(F.col("upto") - F.col("n") < HALO, F.lit(-1)), F.when(F.col("all") - F.col("upto") < HALO, F.lit(1))))
-    places = F.concat(F.array(_place(F.col("chunk"), F.lit(False))), F.transform(near, lambda x: _place(F.col("chunk") + x, F.lit(True))))
-    return large, materialize(counts.select("eid", "att_id", "bucket", places.alias("places")), "chunks")
+    leaves = _leaves(rows, large.select("eid", "att_id", F.col("t0").alias("at"), (F.col("t1") + 1).alias("end"), "width"))
+    while not (over := leaves.where((F.col("n") > limit) & (F.col("end") - F.col("at") > 1))).isEmpty():
+        again = over.select("eid", "att_id", "at", "end", _width(F.col("end") - F.col("at"), limit).alias("width"))
+        leaves = materialize(leaves.join(over, ["eid", "att_id", "at"], "left_anti").unionByName(_leaves(rows, again)), "leaves")
+    source = Window.partitionBy("eid", "att_id")
+    before = leaves.withColumn("k", F.sum("n").over(source.orderBy("at")) - F.col("n")).withColumn("back", -F.col("k"))
+    far = before.withColumn("lo", F.max("at").over(source.orderBy("k").rangeBetween(Window.unboundedPreceding, -HALO)))
+    far = far.withColumn("hi", F.min("at").over(source.orderBy("back").rangeBetween(Window.unboundedPreceding, -HALO)))
+    chunks = far.groupBy("eid", "att_id", F.floor(F.col("k") / limit).alias("part")).agg(F.min("at").alias("start"), F.min_by("lo", "at").alias("lo"), F.min_by("hi", "at").alias("hi"))
+    parts = source.orderBy("part")
+    chunks = chunks.withColumns({"chunk": F.row_number().over(parts), "stop": F.lead("start").over(parts), "hi": F.lead("hi").over(parts)}).join(F.broadcast(large), ["eid", "att_id"])
+    end = F.col("t1") + 1
+    chunks = chunks.select("eid", "att_id", "t0", "width", "chunk", "start", F.coalesce("stop", end).alias("stop"), F.coalesce("lo", "t0").alias("lo"), F.coalesce("hi", end).alias("hi"))
+    met = chunks.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("lo")), _bucket(F.col("hi") - 1))))
+    places = met.groupBy("eid", "att_id", "bucket").agg(F.collect_list(F.struct("chunk", "lo", "start", "stop", "hi")).alias("places"))
+    return large.select("eid", "att_id", "t0", "width"), materialize(places, "chunks")
+
+
+def _width(time: Column, limit: int) -> Column:
+    """Width of the parts of a bucket of ``n`` rows."""
+    return F.ceil(time / (F.ceil(F.col("n") / limit) * PARTS))
+
+
+def _leaves(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``eid, att_id, at, end, n`` of the parts of buckets that hold rows, each of ``width`` and inside its bucket."""
+    j = rows.join(F.broadcast(buckets), ["eid", "att_id"]).where("us >= at and us < end")
+    j = j.select("eid", "att_id", F.expr("at + ((us - at) div width) * width").alias("at"), "width", "end")
+    return materialize(j.groupBy("eid", "att_id", "at", "width", "end").agg(F.count(F.lit(1)).alias("n")).select("eid", "att_id", "at", F.least("end", F.col("at") + F.col("width")).alias("end"), "n"), "leaves")
 
 
 def _micros() -> Column:
     return F.unix_micros(F.col("dt").cast("timestamp"))
 
 
-def _bucket() -> Column:
-    return F.floor((F.col("us") - F.col("t0")) / F.col("width"))
+def _bucket(us: Column) -> Column:
+    return F.call_function("div", us - F.col("t0"), F.col("width"))
 
 
 def _place(chunk: Column, halo: Column) -> Column:
@@ -113,9 +136,11 @@ def _chunked(rows: DataFrame, cut: tuple[DataFrame, DataFrame] | None) -> DataFr
     if cut is None:
         return rows.withColumn("chunk", lone).withColumn("halo", F.lit(False))
     large, chunks = cut
-    j = rows.withColumn("us", _micros()).join(F.broadcast(large), ["eid", "att_id"], "left").withColumn("bucket", _bucket())
+    j = rows.withColumn("us", _micros()).join(F.broadcast(large), ["eid", "att_id"], "left").withColumn("bucket", _bucket(F.col("us")))
     j = j.join(small(chunks), ["eid", "att_id", "bucket"], "left")
-    return j.select(*rows.columns, F.inline(F.coalesce("places", F.array(_place(lone, F.lit(False))))))
+    inside = F.filter("places", lambda x: (x["lo"] <= F.col("us")) & (F.col("us") < x["hi"]))
+    own = F.transform(inside, lambda x: _place(x["chunk"], (F.col("us") < x["start"]) | (F.col("us") >= x["stop"])))
+    return j.select(*rows.columns, F.inline(F.coalesce(own, F.array(_place(lone, F.lit(False))))))
 
 
 def _median(values: list[Column]) -> Column:

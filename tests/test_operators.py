@@ -181,6 +181,29 @@ def test_cutting_a_hot_source_changes_nothing(spark, catalog):
     assert len(whole) > 100 and verdicts(spark, catalog, rows, heavy=700) == whole
 
 
+def test_cutting_a_bursty_source_changes_nothing(spark, catalog):
+    rng = random.Random(9)
+    times = sorted(rng.sample(range(3000), 500)) + [3000 + i / 3600 for i in range(4000)] + sorted(3002 + 20 * x for x in rng.sample(range(4000), 1500))
+    xs = noisy(rng, len(times))
+    for i in range(20, 5980, 60):
+        xs[i] *= 2.2
+    for i in (498, 4499, 4502, 4520):  # at the edges of the burst
+        xs[i] = 230.0
+    for i in (490, 2500, 4506, 4700):
+        xs[i : i + 7] = [xs[i + 1]] * 7
+    rows = [(1, "lab_free", T0 + timedelta(hours=h), f"{x:g}") for h, x in zip(times, xs)]
+    whole = verdicts(spark, catalog, rows)
+    assert len(whole) > 100 and verdicts(spark, catalog, rows, heavy=700) == whole
+    seen = spikes._chunked(spikes.readings(eadv(spark, rows, extra=True), catalog), spikes._chunks(eadv(spark, rows, extra=True), catalog, 700))
+    own = seen.where("not halo").groupBy("chunk").count().collect()
+    assert sum(r["count"] for r in own) == len(rows) and len(own) > 5 and max(r["count"] for r in own) <= 1400
+    # every row of a chunk has its HALO rows on either side there
+    order = {rid: k for k, rid in enumerate(sorted(range(1, len(rows) + 1), key=lambda i: rows[i - 1][2]))}
+    for r in seen.groupBy("chunk").agg(F.collect_list("rid").alias("all"), F.collect_list(F.when(~F.col("halo"), F.col("rid"))).alias("own")).collect():
+        a, o = sorted(order[x] for x in r["all"]), sorted(order[x] for x in r["own"])
+        assert a == list(range(a[0], a[-1] + 1)) and a[0] <= max(0, o[0] - spikes.HALO) and a[-1] >= min(len(rows) - 1, o[-1] + spikes.HALO)
+
+
 def test_heavy_keys_and_totals(spark, catalog):
     rows = [(1, "lab_k", T0, "2")] * 30 + [(i, "enc_n", T0, "x") for i in range(2, 20)] + [(None, None, T0, "3"), (None, " ENC_N", T0, "4"), (50, "odd", T0, "5")]
     df = eadv(spark, rows, extra=True)
