@@ -2,7 +2,7 @@
 
 A post's own words are taken first: quotes (bracket, blockquote, ``>`` and ``|`` styles with their headers) and the signature
 are left aside, markup is removed, compatibility forms, invisible characters and run-together tags are resolved. Then a suffix
-automaton over the post's words finds its maximal repeats, and the share of characters they cover is measured. Apart from
+automaton over the post's words (over characters in scripts written without spaces) finds its maximal repeats, and the share of characters they cover is measured. Apart from
 that, the post is cut into segments, and a word counts as part of a clause if its segment reads like one: enough words, among
 them function words of some language or, in scripts written without spaces, a sentence's end.
 
@@ -206,11 +206,20 @@ def measure(text: str | None) -> tuple[int, float, float, float, float]:
     if not text or not text.strip():
         return 0, 0.0, 0.0, 0.0, 0.0
     words, segment, sentence, n = words_and_segments(own_text(text))
+    spaced = n >= LEAST_WORDS
+    n += sum((len(w) - 1) // 2 for w in words if _NO_SPACE.search(w))  # a word has about two characters in scripts without spaces
     if n < LEAST_WORDS or not words:
         return n, 0.0, 0.0, 0.0, 0.0
-    rep, top = repeated(words)
+    units = [list(w) if _NO_SPACE.search(w) else [w] for w in words]
+    rep_units, top = repeated([u for us in units for u in us])
+    rep, k = [], 0  # per word, the share of it in repeats
+    for us in units:
+        rep.append(sum(rep_units[k : k + len(us)]) / len(us))
+        k += len(us)
     total = sum(map(len, words))
-    cover = sum(len(w) for w, r in zip(words, rep) if r) / total
+    cover = sum(len(w) * r for w, r in zip(words, rep)) / total
+    if not spaced:
+        return n, cover, top, 0.0, 0.0  # too few breaks to tell clauses from other text: only repeats count
     by: dict[int, list[int]] = {}
     for i, s in enumerate(segment):
         by.setdefault(s, []).append(i)
@@ -224,7 +233,7 @@ def measure(text: str | None) -> tuple[int, float, float, float, float]:
         weight += chars
         if not clause:
             outside += chars
-            outside_rep += sum(min(len(words[i]), 10) for i in at if rep[i])
+            outside_rep += sum(min(len(words[i]), 10) * rep[i] for i in at)
     return n, cover, top, outside / weight, outside_rep / outside if outside else 0.0
 
 

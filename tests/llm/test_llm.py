@@ -268,6 +268,15 @@ def test_code_blocks_without_end_take_no_own_words():
         assert [keyword_spam.is_spam(*keyword_spam.measure(t)) for t in (quote + SPAM[0], f"{start}\n{SPAM[2]}", f"It printed this on its own.\n{start}\n" + log * 5)] == [True, True, False]
 
 
+def test_phrases_without_spaces_are_repeats():
+    spam = lambda t: keyword_spam.is_spam(*keyword_spam.measure(t))
+    phrases = ("便宜沙发网上购买", "格安ソファ通販", "โซฟาราคาถูก")
+    assert [spam(p * 100) for p in phrases] == [True] * 3
+    assert [spam(p) for p in phrases] == [False] * 3
+    assert not spam("昨天我把旧的垫圈换掉了，声音小了很多，但是水还是从后面漏出来。")
+    assert not spam("เมื่อวานฉันเปลี่ยนปะเก็นเก่าแล้วเสียงเบาลงมาก")
+
+
 def test_a_very_long_page_is_measured_whole():
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("aeioulmnrst", k=6))
