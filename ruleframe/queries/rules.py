@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -244,6 +245,17 @@ def program_run(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(engine.run(result)["garsi_02"])
 
 
+def program_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All active given programs over the delivered observations: ``name, eid, row`` of every block and entity, ``row`` as JSON."""
+    blocks, _ = read_blocks(table(spark, folder, "ruleblocks"))
+    engine = Engine(spark, {"eadv": adapters.eadv(spark, folder)})
+    result = engine.compile(blocks, Options(static_sysdate=TODAY))
+    if not result.success:
+        raise ValueError("; ".join(m.message for m in result.errors))
+    parts = [df.select(F.lit(name).alias("name"), "eid", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")) for name, df in engine.run(result).items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 _EDGES = "e AS (SELECT ruleblockId AS n, unnest(dependencies) AS d FROM manifest_entries)"
 _DOWN = f"WITH RECURSIVE {_EDGES}, r AS (SELECT 'marnu_01' AS n UNION SELECT e.n FROM e JOIN r ON e.d = r.n) SELECT n AS name FROM r"
 _UP = f"WITH RECURSIVE {_EDGES}, r AS (SELECT 'cobli_49' AS n UNION SELECT e.d FROM e JOIN r ON e.n = r.n) SELECT n AS name FROM r"
@@ -258,6 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "program_manifest": program_manifest,
     "program_order": program_order,
     "program_run": program_run,
+    "program_all": program_all,
 }
 
 SQL: dict[str, str] = {name: q.sql for name, q in RULES.items()} | {

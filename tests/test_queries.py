@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ruleframe.queries import operators, rules
@@ -53,3 +55,14 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["p1_wide", "p4_features", "p5_found", "p5_kinds"])
 def test_runs(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_all_programs_run(spark, duck):
+    """Every active block that the manifest lists has one row per entity."""
+    df = entry.queries()["program_all"](spark, FOLDER)
+    found = {r.name.lower(): r for r in df.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("eid").alias("eids"), F.first("row").alias("row")).collect()}
+    manifest = {name for (name,) in duck.execute("SELECT lower(ruleblockId) FROM manifest_entries").fetchall()}
+    entities = duck.execute("SELECT count(DISTINCT eid) FROM eadv").fetchone()[0]
+    assert set(found) == manifest
+    assert {(r.n, r.eids) for r in found.values()} == {(entities, entities)}
+    assert all("eid" in json.loads(r.row) for r in found.values())
