@@ -1,8 +1,9 @@
 """The expression language of predicates, conditions, returned values and formats.
 
-Text becomes a tree, the tree a Spark Column with a type. Types: ``num``, ``text``, ``date``, ``bool``, ``null`` and ``raw``, the
-text of an observation's value, which counts as a number beside numbers and as text beside text. Nothing of the text is ever
-handed to a database parser, so what is not in the language is an error when the program is compiled.
+Text becomes a tree, the tree typed Spark SQL. Types: ``num``, ``text``, ``date``, ``bool``, ``null`` and ``raw``, the text of an
+observation's value, which counts as a number beside numbers and as text beside text. Only trees are written as SQL, so what
+is not in the language, or does not fit by type, is an error when the program is compiled; and as no Column objects are built,
+a program is compiled without a call to the JVM.
 """
 
 from __future__ import annotations
@@ -10,10 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from datetime import date, datetime
 
 from .model import RuleError
 
@@ -27,10 +25,18 @@ class Node:
 
 @dataclass(frozen=True)
 class Typed:
-    column: Column
+    sql: str
     type: str
 
 
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 _TOKEN = re.compile(
     r"\s*(?:(?P<num>\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\.\d+)|(?P<str>'(?:[^']|'')*'|`[^`]*`)|(?P<id>\"[^\"]+\"|[A-Za-z_]\w*)|(?P<op>!\?|<>|!=|<=|>=|\|\||[?=<>+\-*/(),.%]))"
 )
@@ -245,16 +251,16 @@ def common_type(types: list[str]) -> str:
 
 
 class Compiler:
-    """Trees into Columns, for a scope of named, typed columns."""
+    """Trees into SQL, for a scope of named, typed columns."""
 
     def __init__(self, scope: Callable[[str], Typed | None], sysdate: str | None = None, strict_cast: bool = False):
         self.scope, self.strict = scope, strict_cast
-        self.today = F.lit(date.fromisoformat(sysdate)) if sysdate else F.current_date()
+        self.today = f"DATE'{date.fromisoformat(sysdate).isoformat()}'" if sysdate else "current_date()"
 
     def compile(self, text: str) -> Typed:
         return self.node(parse(text))
 
-    def predicate(self, text: str) -> Column:
+    def predicate(self, text: str) -> str:
         return self.boolean(self.compile(text))
 
     def node(self, n: Node) -> Typed:
@@ -262,69 +268,77 @@ class Compiler:
 
     # conversions
 
-    def number(self, t: Typed) -> Column:
+    def number(self, t: Typed) -> str:
         if t.type in ("text", "raw"):
-            s = F.trim(t.column)
-            return s.cast("double") if self.strict else s.try_cast("double")
+            return f"{'cast' if self.strict else 'try_cast'}(trim({t.sql}) AS double)"
         if t.type == "bool":
-            return t.column.cast("int")
+            return f"CAST({t.sql} AS int)"
         if t.type == "null":
-            return F.lit(None).cast("double")
+            return "CAST(NULL AS double)"
         if t.type == "date":
             raise RuleError("A date stands where a number is needed")
-        return t.column
+        return t.sql
 
     @staticmethod
-    def text(t: Typed) -> Column:
-        return t.column.cast("string")
+    def text(t: Typed) -> str:
+        return f"CAST({t.sql} AS string)"
 
     @staticmethod
-    def date(t: Typed) -> Column:
-        return t.column.try_cast("date") if t.type in ("text", "raw") else t.column.cast("date")
+    def date(t: Typed) -> str:
+        if t.type in ("num", "bool"):
+            raise RuleError("A number stands where a date is needed")
+        return f"{'try_cast' if t.type in ('text', 'raw') else 'CAST'}({t.sql} AS date)"
+
+    def whole(self, t: Typed) -> str:
+        return f"CAST({self.number(t)} AS int)"
 
-    def boolean(self, t: Typed) -> Column:
+    def boolean(self, t: Typed) -> str:
         if t.type == "bool":
-            return t.column
-        return self.number(t) != 0 if t.type != "null" else F.lit(None).cast("boolean")
+            return t.sql
+        return f"({self.number(t)} != 0)" if t.type != "null" else "CAST(NULL AS boolean)"
 
-    def to(self, t: Typed, kind: str) -> Column:
+    def to(self, t: Typed, kind: str) -> str:
         if kind == "num":
             return self.number(t)
         if kind in ("text", "raw"):
             return self.text(t)
         if kind == "date":
-            return t.column if t.type == "date" else self.date(t)
-        return self.boolean(t) if kind == "bool" else t.column
+            return t.sql if t.type == "date" else self.date(t)
+        return self.boolean(t) if kind == "bool" else t.sql
 
-    def unify(self, items: list[Typed]) -> tuple[list[Column], str]:
+    def unify(self, items: list[Typed]) -> tuple[list[str], str]:
         kind = common_type([t.type for t in items])
         return [self.to(t, kind) for t in items], kind
 
     # leaves
 
     def _num(self, n: Node) -> Typed:
-        return Typed(F.lit(int(n.value) if n.value.isdigit() else float(n.value)), "num")
+        return Typed(n.value if n.value.isdigit() else f"{float(n.value)!r}D", "num")
 
     def _text(self, n: Node) -> Typed:
-        return Typed(F.lit(n.value), "text")
+        return Typed(literal(n.value), "text")
 
     def _bool(self, n: Node) -> Typed:
-        return Typed(F.lit(n.value == "true"), "bool")
+        return Typed(n.value, "bool")
 
     def _null(self, n: Node) -> Typed:
-        return Typed(F.lit(None), "null")
+        return Typed("NULL", "null")
 
     def _datelit(self, n: Node) -> Typed:
-        return Typed(F.lit(n.value).cast("date" if len(n.value) <= 10 else "timestamp_ntz"), "date")
+        try:
+            day = datetime.fromisoformat(n.value.strip())
+        except ValueError:
+            raise RuleError(f"This is no date: {n.value}") from None
+        return Typed(f"DATE'{day.date()}'" if len(n.value.strip()) <= 10 else f"TIMESTAMP_NTZ'{day.isoformat(sep=' ')}'", "date")
 
     def _name(self, n: Node) -> Typed:
         low = n.value.lower()
         if low == "sysdate":
             return Typed(self.today, "date")
         if low == "lower__bound__dt":
-            return Typed(F.lit("0001-01-01").cast("date"), "date")
+            return Typed("DATE'0001-01-01'", "date")
         if low == "upper__bound__dt":
-            return Typed(F.lit("9999-12-31").cast("date"), "date")
+            return Typed("DATE'9999-12-31'", "date")
         found = self.scope(low)
         if found is None:
             raise RuleError(f"Undefined variable: {n.value}")
@@ -333,98 +347,96 @@ class Compiler:
     # operators
 
     def _or(self, n: Node) -> Typed:
-        return Typed(self.boolean(self.node(n.args[0])) | self.boolean(self.node(n.args[1])), "bool")
+        return Typed("(" + " OR ".join(self.boolean(self.node(a)) for a in n.args) + ")", "bool")
 
     def _and(self, n: Node) -> Typed:
-        return Typed(self.boolean(self.node(n.args[0])) & self.boolean(self.node(n.args[1])), "bool")
+        return Typed("(" + " AND ".join(self.boolean(self.node(a)) for a in n.args) + ")", "bool")
 
     def _not(self, n: Node) -> Typed:
-        return Typed(~self.boolean(self.node(n.args[0])), "bool")
+        return Typed(f"(NOT {self.boolean(self.node(n.args[0]))})", "bool")
 
     def _isnull(self, n: Node) -> Typed:
-        return Typed(self.node(n.args[0]).column.isNull(), "bool")
+        return Typed(f"({self.node(n.args[0]).sql} IS NULL)", "bool")
 
     def _notnull(self, n: Node) -> Typed:
-        return Typed(self.node(n.args[0]).column.isNotNull(), "bool")
+        return Typed(f"({self.node(n.args[0]).sql} IS NOT NULL)", "bool")
 
-    def _pair(self, a: Typed, b: Typed) -> tuple[Column, Column]:
+    def _pair(self, a: Typed, b: Typed) -> tuple[str, str]:
         """Two sides made comparable: a number beside text reads the text, a date too."""
         kinds = {a.type, b.type}
+        if "date" in kinds and kinds & {"num", "bool"}:
+            raise RuleError("A date is compared with a number")
         if "num" in kinds or "bool" in kinds and kinds != {"bool"}:
-            return (self.number(a), self.number(b)) if "date" not in kinds else (a.column, b.column)
+            return self.number(a), self.number(b)
         if "date" in kinds:
-            as_date = lambda t: t.column if t.type in ("date", "null") else self.date(t)
+            as_date = lambda t: t.sql if t.type in ("date", "null") else self.date(t)
             return as_date(a), as_date(b)
-        return a.column, b.column
+        return a.sql, b.sql
 
     def _compare(self, n: Node) -> Typed:
         a, b = self._pair(*map(self.node, n.args))
-        ops = {"=": a.__eq__, "<>": a.__ne__, "<": a.__lt__, "<=": a.__le__, ">": a.__gt__, ">=": a.__ge__}
-        return Typed(ops[n.value](b), "bool")
+        return Typed(f"({a} {n.value} {b})", "bool")
 
     def _in(self, n: Node) -> Typed:
         first, *rest = map(self.node, n.args)
-        out = F.lit(False)
+        sides: dict[str, list[str]] = {}
         for r in rest:
             a, b = self._pair(first, r)
-            out = out | (a == b)
-        return Typed(out, "bool")
+            sides.setdefault(a, []).append(b)
+        return Typed("(" + " OR ".join(f"{a} IN ({', '.join(bs)})" for a, bs in sides.items()) + ")" if rest else "false", "bool")
 
     def _like(self, n: Node) -> Typed:
         a, p = map(self.node, n.args)
-        return Typed(F.like(self.text(a), self.text(p)), "bool")
+        return Typed(f"({self.text(a)} LIKE {self.text(p)})", "bool")
 
     def _between(self, n: Node) -> Typed:
         x, low, high = map(self.node, n.args)
         a, b = self._pair(x, low)
         c, d = self._pair(x, high)
-        return Typed((a >= b) & (c <= d), "bool")
+        return Typed(f"({a} >= {b} AND {c} <= {d})", "bool")
 
     def _negative(self, n: Node) -> Typed:
-        return Typed(-self.number(self.node(n.args[0])), "num")
+        return Typed(f"(- {self.number(self.node(n.args[0]))})", "num")
 
     def _binary(self, n: Node) -> Typed:
         a, b = map(self.node, n.args)
         if n.value == "||" or n.value == "+" and "text" in (a.type, b.type):
-            return Typed(F.concat(self.text(a), self.text(b)), "text")
+            return Typed(f"concat({self.text(a)}, {self.text(b)})", "text")
         if n.value == "-" and a.type == "date" and b.type in ("date", "raw", "text"):
-            return Typed(F.datediff(self.date(a), self.date(b)).cast("bigint"), "num")
+            return Typed(f"CAST(datediff({self.date(a)}, {self.date(b)}) AS bigint)", "num")
         if n.value in "+-" and "date" in (a.type, b.type):
             day, shift = (a, b) if a.type == "date" else (b, a)
             if n.value == "-" and day is b or shift.type == "date":
                 raise RuleError(f"A date cannot stand there with {n.value!r}")
-            days = self.number(shift).cast("int")
-            return Typed(F.date_add(self.date(day), days if n.value == "+" else -days), "date")
+            return Typed(f"date_{'add' if n.value == '+' else 'sub'}({self.date(day)}, {self.whole(shift)})", "date")
         x, y = self.number(a), self.number(b)
         if n.value == "/":
-            return Typed(F.try_divide(x.cast("double"), y.cast("double")), "num")
+            return Typed(f"try_divide(CAST({x} AS double), CAST({y} AS double))", "num")
         if n.value == "%":
-            return Typed(F.when(y != 0, x % y), "num")
-        return Typed({"+": x + y, "-": x - y, "*": x * y}[n.value], "num")
+            return Typed(f"(CASE WHEN {y} != 0 THEN {x} % {y} END)", "num")
+        return Typed(f"({x} {n.value} {y})", "num")
 
     def _case(self, n: Node) -> Typed:
         whens = [a for a in n.args if a.kind == "when"]
         values = [self.node(w.args[1]) for w in whens] + ([self.node(n.args[-1])] if n.value else [])
         return self.choose([self.boolean(self.node(w.args[0])) for w in whens], values)
 
-    def choose(self, conditions: list[Column], values: list[Typed]) -> Typed:
+    def choose(self, conditions: list[str], values: list[Typed]) -> Typed:
         """The value of the first condition that holds; one more value than conditions is the rest's."""
         columns, kind = self.unify(values)
         if not conditions:
             return Typed(columns[0], kind)
-        out = F.when(conditions[0], columns[0])
-        for c, v in zip(conditions[1:], columns[1:]):
-            out = out.when(c, v)
-        return Typed(out.otherwise(columns[-1]) if len(columns) > len(conditions) else out, kind)
+        whens = " ".join(f"WHEN {c} THEN {v}" for c, v in zip(conditions, columns))
+        return Typed(f"(CASE {whens}{f' ELSE {columns[-1]}' if len(columns) > len(conditions) else ''} END)", kind)
 
     # functions
 
     def _extract(self, n: Node) -> Typed:
-        part = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second}.get(n.value)
+        part = {"year": "year", "month": "month", "day": "dayofmonth", "hour": "hour", "minute": "minute", "second": "second"}.get(n.value)
         if part is None:
             raise RuleError(f"Unsupported part of a date: {n.value}")
         t = self.node(n.args[0])
-        return Typed(part(t.column if t.type == "date" else self.date(t)).cast("bigint"), "num")
+        return Typed(f"CAST({part}({self.to(t, 'date')}) AS bigint)", "num")
 
     def _call(self, n: Node) -> Typed:
         if n.value in ("to_char", "to_date") and len(n.args) == 2 and n.args[1].kind == "text":
@@ -432,43 +444,17 @@ class Compiler:
         f = _FUNCTIONS.get(n.value)
         if f is None:
             raise RuleError(f"Unsupported function in expression: {n.value}")
-        try:
-            return f(self, [self.node(a) for a in n.args])
-        except (TypeError, IndexError):
-            raise RuleError(f"Wrong number of arguments: {n.value}") from None
+        least, most, make = f
+        if not least <= len(n.args) <= most:
+            raise RuleError(f"Wrong number of arguments: {n.value}")
+        return make(self, [self.node(a) for a in n.args])
 
     def _formatted(self, function: str, t: Typed, form: str) -> Typed:
         if function == "to_date":
-            return Typed(F.to_date(F.try_to_timestamp(self.text(t), F.lit(java_format(form)))), "date")
+            return Typed(f"to_date(try_to_timestamp({self.text(t)}, {literal(java_format(form))}))", "date")
         if t.type == "num":
-            return Typed(F.to_char(t.column, F.lit(form)), "text")
-        return Typed(F.date_format(t.column if t.type == "date" else self.date(t), java_format(form)), "text")
-
-
-def _coalesce(c: Compiler, args: list[Typed]) -> Typed:
-    columns, kind = c.unify(args)
-    return Typed(F.coalesce(*columns), kind)
-
-
-def _extreme(pick: Callable, skip_nulls: bool) -> Callable[[Compiler, list[Typed]], Typed]:
-    def run(c: Compiler, args: list[Typed]) -> Typed:
-        if len(args) == 1:
-            return args[0]
-        columns, kind = c.unify(args)
-        best = pick(*columns)
-        if not skip_nulls:
-            missing = columns[0].isNull()
-            for x in columns[1:]:
-                missing = missing | x.isNull()
-            best = F.when(~missing, best)
-        return Typed(best, kind)
-
-    return run
-
-
-def _substr(c: Compiler, args: list[Typed]) -> Typed:
-    start = c.number(args[1]).cast("int")
-    return Typed(F.substr(c.text(args[0]), start, *(c.number(a).cast("int") for a in args[2:3])), "text")
+            return Typed(f"to_char({t.sql}, {literal(form)})", "text")
+        return Typed(f"date_format({self.to(t, 'date')}, {literal(java_format(form))})", "text")
 
 
 #: Parts of date formats and their Java forms.
@@ -488,47 +474,84 @@ def java_format(text: str) -> str:
     return out
 
 
-def _to_char(c: Compiler, args: list[Typed]) -> Typed:
-    if len(args) == 1:
-        return Typed(c.text(args[0]), "text")
-    raise RuleError("The format of to_char must be a literal")
+_MANY = 1000
+_Function = tuple[int, int, Callable[[Compiler, list[Typed]], Typed]]
 
 
-def _numeric(f: Callable) -> Callable[[Compiler, list[Typed]], Typed]:
-    return lambda c, args: Typed(f(*(c.number(a) for a in args)), "num")
+def _coalesce(c: Compiler, args: list[Typed]) -> Typed:
+    columns, kind = c.unify(args)
+    return Typed(f"coalesce({', '.join(columns)})", kind)
 
 
-def _textual(f: Callable) -> Callable[[Compiler, list[Typed]], Typed]:
-    return lambda c, args: Typed(f(*(c.text(a) for a in args)), "text")
+def _extreme(pick: str, skip_nulls: bool) -> _Function:
+    def run(c: Compiler, args: list[Typed]) -> Typed:
+        if len(args) == 1:
+            return args[0]
+        columns, kind = c.unify(args)
+        best = f"{pick}({', '.join(columns)})"
+        return Typed(best if skip_nulls else f"(CASE WHEN {' AND '.join(f'{x} IS NOT NULL' for x in columns)} THEN {best} END)", kind)
+
+    return 1, _MANY, run
+
+
+def _numeric(form: str, least: int = 1, most: int = 1) -> _Function:
+    return least, most, lambda c, args: Typed(form.format(", ".join(c.number(a) for a in args)), "num")
+
+
+def _textual(name: str, least: int = 1, most: int = 1) -> _Function:
+    return least, most, lambda c, args: Typed(f"{name}({', '.join(c.text(a) for a in args)})", "text")
+
+
+def _substr(c: Compiler, args: list[Typed]) -> Typed:
+    return Typed(f"substr({', '.join([c.text(args[0]), *(c.whole(a) for a in args[1:])])})", "text")
+
+
+def _to_char(c: Compiler, args: list[Typed]) -> Typed:
+    if len(args) == 1:
+        return Typed(c.text(args[0]), "text")
+    raise RuleError("The format of to_char must be a literal")
 
 
 def _round(c: Compiler, args: list[Typed]) -> Typed:
-    x = c.number(args[0])
-    return Typed(F.round(x, c.number(args[1]).cast("int")) if len(args) > 1 else F.round(x), "num")
+    return Typed(f"round({', '.join([c.number(args[0]), *(c.whole(a) for a in args[1:])])})", "num")
 
 
 def _nullif(c: Compiler, args: list[Typed]) -> Typed:
     a, b = c._pair(*args)
-    return Typed(F.when(F.coalesce(a == b, F.lit(False)), F.lit(None)).otherwise(args[0].column), args[0].type)
-
-
-_FUNCTIONS: dict[str, Callable[[Compiler, list[Typed]], Typed]] = {
-    "nvl": _coalesce, "coalesce": _coalesce, "nullif": _nullif, "isnull": _coalesce,
-    "to_number": lambda c, a: Typed(c.number(a[0]).cast("double"), "num"),
-    "to_char": _to_char, "substr": _substr, "substring": _substr,
-    "to_date": lambda c, a: Typed(c.date(a[0]), "date"), "trunc": lambda c, a: Typed(c.date(a[0]), "date") if a[0].type == "date" else Typed(F.floor(F.abs(c.number(a[0]))) * F.signum(c.number(a[0])), "num"),
-    "least": _extreme(F.least, False), "greatest": _extreme(F.greatest, False),
-    "least_date": _extreme(F.least, True), "greatest_date": _extreme(F.greatest, True),
-    "ceil": _numeric(lambda x: F.ceil(x)), "floor": _numeric(lambda x: F.floor(x)), "round": _round, "abs": _numeric(F.abs),
-    "power": _numeric(F.pow), "sqrt": _numeric(F.sqrt), "exp": _numeric(F.exp), "ln": _numeric(F.ln), "sign": _numeric(F.signum),
-    "log": lambda c, a: Typed(F.ln(c.number(a[0])) if len(a) == 1 else F.ln(c.number(a[1])) / F.ln(c.number(a[0])), "num"),
-    "mod": lambda c, a: Typed(F.when(c.number(a[1]) != 0, c.number(a[0]) % c.number(a[1])), "num"),
-    "upper": _textual(F.upper), "lower": _textual(F.lower), "trim": _textual(F.trim), "ltrim": _textual(F.ltrim), "rtrim": _textual(F.rtrim),
-    "concat": _textual(F.concat), "replace": _textual(lambda s, a, b=None: F.replace(s, a, b) if b is not None else F.replace(s, a)),
-    "length": lambda c, a: Typed(F.length(c.text(a[0])).cast("bigint"), "num"),
-    "instr": lambda c, a: Typed(F.position(c.text(a[1]), c.text(a[0])).cast("bigint"), "num"),
-    "date_add": lambda c, a: Typed(F.date_add(c.date(a[0]), c.number(a[1]).cast("int")), "date"),
-    "date_diff": lambda c, a: Typed(F.datediff(c.date(a[0]), c.date(a[1])).cast("bigint"), "num"),
-    "months_between": lambda c, a: Typed(F.months_between(c.date(a[0]), c.date(a[1])), "num"),
-    "add_months": lambda c, a: Typed(F.add_months(c.date(a[0]), c.number(a[1]).cast("int")), "date"),
+    return Typed(f"(CASE WHEN coalesce({a} = {b}, false) THEN NULL ELSE {args[0].sql} END)", args[0].type)
+
+
+def _trunc(c: Compiler, args: list[Typed]) -> Typed:
+    if args[0].type == "date":
+        return Typed(c.date(args[0]), "date")
+    x = c.number(args[0])
+    return Typed(f"(floor(abs({x})) * signum({x}))", "num")
+
+
+def _log(c: Compiler, args: list[Typed]) -> Typed:
+    x = [f"ln({c.number(a)})" for a in args]
+    return Typed(x[0] if len(x) == 1 else f"({x[1]} / {x[0]})", "num")
+
+
+def _mod(c: Compiler, args: list[Typed]) -> Typed:
+    x, y = map(c.number, args)
+    return Typed(f"(CASE WHEN {y} != 0 THEN {x} % {y} END)", "num")
+
+
+_FUNCTIONS: dict[str, _Function] = {
+    "nvl": (2, 2, _coalesce), "coalesce": (1, _MANY, _coalesce), "nullif": (2, 2, _nullif), "isnull": (2, 2, _coalesce),
+    "to_number": (1, 1, lambda c, a: Typed(f"CAST({c.number(a[0])} AS double)", "num")),
+    "to_char": (1, 2, _to_char), "substr": (2, 3, _substr), "substring": (2, 3, _substr),
+    "to_date": (1, 1, lambda c, a: Typed(c.date(a[0]), "date")), "trunc": (1, 1, _trunc),
+    "least": _extreme("least", False), "greatest": _extreme("greatest", False), "least_date": _extreme("least", True), "greatest_date": _extreme("greatest", True),
+    "ceil": _numeric("ceil({})"), "floor": _numeric("floor({})"), "abs": _numeric("abs({})"), "sqrt": _numeric("sqrt({})"), "exp": _numeric("exp({})"), "ln": _numeric("ln({})"), "sign": _numeric("signum({})"),
+    "power": _numeric("power({})", 2, 2), "round": (1, 2, _round), "log": (1, 2, _log), "mod": (2, 2, _mod),
+    "upper": _textual("upper"), "lower": _textual("lower"), "trim": _textual("trim"), "ltrim": _textual("ltrim"), "rtrim": _textual("rtrim"),
+    "concat": _textual("concat", 1, _MANY), "replace": _textual("replace", 2, 3),
+    "length": (1, 1, lambda c, a: Typed(f"CAST(length({c.text(a[0])}) AS bigint)", "num")),
+    "instr": (2, 2, lambda c, a: Typed(f"CAST(instr({c.text(a[0])}, {c.text(a[1])}) AS bigint)", "num")),
+    "date_add": (2, 2, lambda c, a: Typed(f"date_add({c.date(a[0])}, {c.whole(a[1])})", "date")),
+    "date_diff": (2, 2, lambda c, a: Typed(f"CAST(datediff({c.date(a[0])}, {c.date(a[1])}) AS bigint)", "num")),
+    "months_between": (2, 2, lambda c, a: Typed(f"months_between({c.date(a[0])}, {c.date(a[1])})", "num")),
+    "add_months": (2, 2, lambda c, a: Typed(f"add_months({c.date(a[0])}, {c.whole(a[1])})", "date")),
 }

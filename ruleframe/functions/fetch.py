@@ -1,9 +1,11 @@
-"""The 26 fetch functions.
+"""The 26 fetch functions as SQL.
 
 Most are one aggregate expression over the rows of an entity, guarded by the fetch's own filter, so any number of them share
-one ``groupBy``. Order among rows goes into the key of a ``min_by`` instead of a window: times become whole numbers that can
+one ``GROUP BY``. Order among rows goes into the key of a ``min_by`` instead of a window: times become whole numbers that can
 be negated, so newest-first order with ascending tie keys (name, then value; NULL last) is still one minimum, combined
-map-side. Three functions need the row before or a rank (``ORDERED``); the planner gives them one shared window stage.
+map-side. The others would hold an entity's rows in one task, so the planner gives them stages of their own: ``COUNTED``
+functions work on counts per (entity, value), ``RANKED`` ones on a window that keeps the first rows of each task only, and
+``DAILY`` ones on days.
 """
 
 from __future__ import annotations
@@ -11,97 +13,80 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..expr import Typed
 
 #: Functions with two outputs, ``<variable>_val`` and ``<variable>_dt``.
 PAIRS = frozenset({"lastdv", "firstdv", "maxldv", "minldv", "minfdv", "max_neg_delta_dv"})
-#: Functions over ordered rows.
-ORDERED = frozenset({"nth", "max_neg_delta_dv", "temporal_regularity"})
+COUNTED = frozenset({"median", "distinct_count", "stats_mode"})
+RANKED = frozenset({"nth"})
+DAILY = frozenset({"max_neg_delta_dv", "temporal_regularity"})
+#: Functions of numbers; a date is none.
+NUMERIC = frozenset({"sum", "avg", "median", "maxldv", "minldv", "minfdv", "max_neg_delta_dv", "regr_slope", "regr_intercept", "regr_r2"})
+#: Functions that join values in order of time; the planner writes them, as their order is part of the aggregate.
+SERIAL = frozenset({"serialize", "serialize2", "serializedv", "serializedv2"})
+#: Functions of which no row gives NULL, while the aggregate would give a number.
+NULL_IF_NONE = frozenset({"count", "distinct_count", "exists"})
+
+#: A time as microseconds of its calendar reading, whatever the session's zone.
+MICROS = (
+    "unix_date(to_date({dt})) * 86400000000L + CAST(hour({dt}) * 3600 + minute({dt}) * 60 AS bigint) * 1000000L + CAST(date_part('SECOND', {dt}) * 1000000 AS bigint)"
+)
+NEWEST = "struct(__us IS NULL, - __us, __att, __val IS NULL, __val)"
+OLDEST = "struct(__us IS NULL, __us, __att, __val IS NULL, __val)"
+#: The same orders as sort keys.
+NEWEST_FIRST = "__us DESC NULLS LAST, __att, __val NULLS LAST"
+OLDEST_FIRST = "__us NULLS LAST, __att, __val NULLS LAST"
+_DAY = "CAST(floor(__us / 86400000000) AS double)"
 
 
 @dataclass(frozen=True)
 class Rows:
-    """What a fetch sees: its filter, its property as read and as a number, and the observation's columns."""
+    """What a fetch sees: its filter, its property as read and as a number."""
 
-    hit: Column
+    hit: str
     prop: Typed
-    number: Column
-    att: Column
-    dt: Column
-    val: Column
-    parts: tuple[Column, ...] = ()
-
-
-def micros(dt: Column) -> Column:
-    """A time as microseconds of its calendar reading, whatever the session's zone."""
-    clock = (F.hour(dt) * 3600 + F.minute(dt) * 60).cast("bigint") * F.lit(1_000_000)
-    return F.unix_date(F.to_date(dt)).cast("bigint") * F.lit(86_400_000_000) + clock + (F.date_part(F.lit("SECOND"), dt) * 1_000_000).cast("bigint")
-
-
-def newest(r: Rows) -> Column:
-    return F.struct(r.dt.isNull(), -r.dt, r.att, r.val.isNull(), r.val)
+    number: str
 
+    def when(self, x: str) -> str:
+        return f"CASE WHEN {self.hit} THEN {x} END"
 
-def oldest(r: Rows) -> Column:
-    return F.struct(r.dt.isNull(), r.dt, r.att, r.val.isNull(), r.val)
 
+def by_number(r: Rows, sign: str, newest_first: bool) -> str:
+    return f"struct({r.number} IS NULL, {sign}{r.number}, __us IS NULL, {'- ' if newest_first else ''}__us, __att, __val IS NULL, __val)"
 
-def by_number(r: Rows, sign: int, newest_first: bool) -> Column:
-    return F.struct(r.number.isNull(), r.number * sign, r.dt.isNull(), -r.dt if newest_first else r.dt, r.att, r.val.isNull(), r.val)
 
+def _first(key: Callable[[Rows], str]) -> Callable[[Rows], str]:
+    return lambda r: f"min_by({r.prop.sql}, {r.when(key(r))})"
 
-def _guarded(r: Rows, x: Column) -> Column:
-    return F.when(F.count_if(r.hit) > 0, x)
 
+def _numeric(f: str) -> Callable[[Rows], str]:
+    return lambda r: f"{f}({r.when(r.number)})"
 
-def _counted(x: Callable[[Rows], Column]) -> Callable[[Rows], Column]:
-    return lambda r: F.count(F.when(r.hit, x(r)))
 
+def _extreme(f: str) -> Callable[[Rows], str]:
+    return lambda r: f"{f}({r.when(r.prop.sql if r.prop.type == 'date' else r.number)})"
 
-def _first(key: Callable[[Rows], Column], x: Callable[[Rows], Column] = lambda r: r.prop.column) -> Callable[[Rows], Column]:
-    return lambda r: F.min_by(x(r), F.when(r.hit, key(r)))
 
+def _regression(f: str) -> Callable[[Rows], str]:
+    return lambda r: f"{f}({r.when(r.number)}, {r.when(_DAY)})"
 
-def _numeric(f: Callable[[Column], Column]) -> Callable[[Rows], Column]:
-    return lambda r: f(F.when(r.hit, r.number))
 
-
-def _day(r: Rows) -> Column:
-    return F.floor(r.dt / 86_400_000_000).cast("double")
-
-
-def _regression(f: Callable[[Column, Column], Column]) -> Callable[[Rows], Column]:
-    return lambda r: f(F.when(r.hit, r.number), F.when(r.hit, _day(r)))
-
-
-def _intercept(r: Rows) -> Column:
+def _intercept(r: Rows) -> str:
     """The fit is over days since the first matching row; a shift of x moves the intercept by slope times the shift."""
-    y, d = F.when(r.hit, r.number), F.when(r.hit, _day(r))
-    origin = F.min(F.when(r.hit, _day(r)))
-    return F.regr_intercept(y, d - F.lit(18_000.0)) + F.regr_slope(y, d - F.lit(18_000.0)) * (origin - 18_000.0)
+    y, x, near = r.when(r.number), r.when(f"{_DAY} - 18000D"), f"min({r.when(_DAY)}) - 18000D"
+    return f"regr_intercept({y}, {x}) + regr_slope({y}, {x}) * ({near})"
 
 
 #: name -> aggregate over the rows; the dv functions give a struct of value and time.
-AGGREGATES: dict[str, Callable[[Rows], Column]] = {
-    "last": _first(newest), "first": _first(oldest),
-    "count": _counted(lambda r: r.prop.column), "exists": lambda r: F.lit(1),
-    "sum": _numeric(F.sum), "avg": _numeric(F.avg), "median": _numeric(F.median),
-    "min": lambda r: F.min(F.when(r.hit, r.prop.column if r.prop.type == "date" else r.number)),
-    "max": lambda r: F.max(F.when(r.hit, r.prop.column if r.prop.type == "date" else r.number)),
-    "distinct_count": lambda r: F.size(F.collect_set(F.when(r.hit, r.prop.column))).cast("bigint"),
-    "lastdv": _first(newest), "firstdv": _first(oldest),
-    "maxldv": _first(lambda r: by_number(r, -1, True)), "minldv": _first(lambda r: by_number(r, 1, True)), "minfdv": _first(lambda r: by_number(r, 1, False)),
-    "regr_slope": _regression(F.regr_slope), "regr_intercept": _intercept, "regr_r2": _regression(F.regr_r2),
-    "stats_mode": lambda r: F.mode(F.when(r.hit, r.prop.column), True),
+AGGREGATES: dict[str, Callable[[Rows], str]] = {
+    "last": _first(lambda r: NEWEST), "first": _first(lambda r: OLDEST), "lastdv": _first(lambda r: NEWEST), "firstdv": _first(lambda r: OLDEST),
+    "maxldv": _first(lambda r: by_number(r, "- ", True)), "minldv": _first(lambda r: by_number(r, "", True)), "minfdv": _first(lambda r: by_number(r, "", False)),
+    "count": lambda r: f"count({r.when(r.prop.sql)})", "exists": lambda r: "1",
+    "sum": _numeric("sum"), "avg": _numeric("avg"), "median": _numeric("median"), "min": _extreme("min"), "max": _extreme("max"),
+    "distinct_count": lambda r: f"CAST(size(collect_set({r.when(r.prop.sql)})) AS bigint)", "stats_mode": lambda r: f"mode({r.when(r.prop.sql)}, true)",
+    "regr_slope": _regression("regr_slope"), "regr_intercept": _intercept, "regr_r2": _regression("regr_r2"),
 }
-#: Functions that join values in order of time; the planner writes them, as their order is part of the aggregate.
-SERIAL = frozenset({"serialize", "serialize2", "serializedv", "serializedv2"})
-#: Functions of which no row gives NULL, while the aggregate would give a number.
-NULL_IF_NONE = frozenset({"count", "distinct_count", "exists"})
-FUNCTIONS = frozenset(AGGREGATES) | SERIAL | ORDERED
+FUNCTIONS = frozenset(AGGREGATES) | SERIAL | RANKED | DAILY
 
 
 def result_type(function: str, prop: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -143,12 +144,14 @@ class Message:
 
 @dataclass
 class CompilationResult:
-    """``dataframes`` are lazy: nothing has run when they are built."""
+    """``dataframes`` are lazy, and ``sql`` has the statements they are made of. ``options`` are those of the compile."""
 
     success: bool
     ruleblocks: list[Ruleblock] = field(default_factory=list)
-    dataframes: dict[str, DataFrame] = field(default_factory=dict)
+    dataframes: Mapping[str, DataFrame] = field(default_factory=dict)
     errors: list[Message] = field(default_factory=list)
     warnings: list[Message] = field(default_factory=list)
     metrics: dict[str, float] = field(default_factory=dict)
     manifest: Manifest | None = None
+    options: Options = Options()
+    sql: dict[str, str] = field(default_factory=dict)

@@ -1,4 +1,4 @@
-"""The rules over a stream of observations: each micro-batch of entities is computed afresh from the stored rows."""
+"""The rules over a stream of observations: after each micro-batch, all results are computed afresh from all stored rows."""
 
 from __future__ import annotations
 
@@ -21,6 +21,6 @@ def recompute(stream: DataFrame, stored: str, target: str, blocks: list[Rulebloc
         batch.select("eid", "att", "dt", "val").write.mode("overwrite").parquet(f"{stored}/batch={number}")
         eadv = spark.read.parquet(stored).drop("batch")
         engine = Engine(spark, {"eadv": eadv})
-        engine.write(engine.compile(blocks, options), target, options=options)
+        engine.write(engine.compile(blocks, options), target)
 
     return stream.writeStream.foreachBatch(run)

@@ -110,7 +110,7 @@ def test_write_and_bind_what_was_written(spark, eadv, tmp_path):
     engine = Engine(spark, {"eadv": eadv})
     r = engine.compile([RuleblockInput("d1", "x => rout_b1.l_dt.dt.bind();"), RuleblockInput("b1", "l => eadv.lab_bld_egfr.val.lastdv();")], OPTIONS)
     for _ in range(2):  # a second run replaces the first
-        paths = engine.write(r, str(tmp_path), options=OPTIONS)
+        paths = engine.write(r, str(tmp_path))
     assert list(paths) == ["b1", "d1"]
     assert spark.read.parquet(paths["d1"]).where("eid = 1").first().x == date(2020, 1, 31)
     engine.run(r)
@@ -164,8 +164,75 @@ def exchanges(df):
     return plan.count("Exchange hashpartitioning")
 
 
+def plan_of(spark, df, text):
+    return Engine(spark, {"eadv": df}).compile([RuleblockInput("m", text)], OPTIONS).dataframes["m"]
+
+
 def test_plan_shapes(spark, eadv):
-    fused = Engine(spark, {"eadv": eadv}).compile([RuleblockInput("m", "".join(f"v{i} => eadv.lab_bld_egfr.val.{c}();" for i, c in enumerate(["last", "first", "sum", "median", "serialize", "maxldv", "stats_mode"])))])
-    assert exchanges(fused.dataframes["m"]) == 1
-    ordered = Engine(spark, {"eadv": eadv}).compile([RuleblockInput("m", "a => eadv.x.val.last(); b => eadv.x.val.nth(2); c => eadv.y.val.nth(3); d => eadv.z.val.temporal_regularity();")])
-    assert exchanges(ordered.dataframes["m"]) == 3  # entities; (entity, fetch); entities again, after the windows
+    fused = plan_of(spark, eadv, "".join(f"v{i} => eadv.lab_bld_egfr.val.{c}();" for i, c in enumerate(["last", "first", "sum", "count", "serialize", "maxldv", "regr_slope"])))
+    assert exchanges(fused) == 2  # entities; their matching rows
+    ranked = plan_of(spark, eadv, "a => eadv.x.val.last(); b => eadv.x.val.nth(2); c => eadv.y.val.nth(3);")
+    assert exchanges(ranked) == 4  # and (entity, fetch), entity
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_scans_read_the_named_attributes_only(spark, eadv, tmp_path):
+    eadv.write.parquet(str(tmp_path / "eadv"))
+    stored = spark.read.parquet(str(tmp_path / "eadv"))
+    plan = plan_of(spark, stored, "a => eadv.lab_bld_egfr.val.count(); b => eadv.[lab_bld_haemoglobin, labX%].val.sum();")._jdf.queryExecution().executedPlan().toString()
+    assert "Or(In(att, [lab_bld_egfr,lab_bld_haemoglobin]),StringStartsWith(att,labX))" in plan and "ReadSchema: struct<eid:bigint>" in plan
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    dependent = plan_of(spark, stored, "m => eadv.lab_bld_egfr.val.avg(); n => eadv.lab_bld_egfr.val.count().where(val > m);")
+    assert dependent._jdf.queryExecution().executedPlan().toString().count("EqualTo(att,lab_bld_egfr)") == 2
+
+
+def test_plans_grow_with_the_length_of_a_program(spark, eadv, tmp_path):
+    eadv.write.parquet(str(tmp_path / "eadv"))
+    stored = spark.read.parquet(str(tmp_path / "eadv"))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    levels = "v0 => eadv.lab_bld_egfr.val.avg();" + "".join(f"v{i} => eadv.lab_bld_egfr.val.{f}().where(val >= v{i - 1} - 50);" for i, f in enumerate(["min", "median", "nth", "max", "temporal_regularity", "sum"], 1))
+    deep = plan_of(spark, stored, levels)
+    assert scans(deep) == 8 and deep.count() == 4
+    blocks = [RuleblockInput("b0", "x => eadv.lab_bld_egfr.val.count();"), RuleblockInput("b1", "x => rout_b0.x.val.bind();")]
+    blocks += [RuleblockInput(f"b{i}", f"y => rout_b{i - 1}.x.val.bind(); z => rout_b{i - 2}.x.val.bind(); x : {{. => y + z}};") for i in range(2, 12)]
+    result = Engine(spark, {"eadv": stored}).compile(blocks, OPTIONS)
+    assert scans(result.dataframes["b11"]) < 6
+    assert {r.eid: r.x for r in result.dataframes["b11"].collect()} == {1: 4 * 144, 2: 2 * 144, 3: None, 4: None}
+
+
+def test_stages_of_their_own_against_the_fused_ones(spark):
+    """Functions whose free form is spread over tasks give what their form inside an entity's partition gives."""
+    rng = random.Random(11)
+    start = datetime(2021, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4]), rng.choice("ab"), rng.choice([None, start + timedelta(hours=rng.randrange(300))]), rng.choice([None, 1.0, 2.5, 2.5, 7.0, -3.0, 0.0])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "eid long, att string, dt timestamp_ntz, val double")
+    fns = ["val.median", "val.distinct_count", "val.stats_mode", "att.distinct_count", "dt.stats_mode", "val.nth(3)", "att.nth(2)", "val.max_neg_delta_dv", "val.temporal_regularity"]
+    call = lambda f: f if "(" in f else f + "()"
+    text = "one : {. => 1};" + "".join(f"f{i} => eadv.[a, b].{call(f)}; d{i} => eadv.[a, b].{call(f)}.where(one = 1);" for i, f in enumerate(fns))
+    for r in run(spark, df, text).values():
+        d = r.asDict()
+        for k, v in d.items():
+            if k.startswith("f"):
+                assert d["d" + k[1:]] == (pytest.approx(v) if isinstance(v, float) else v), k
+
+
+@pytest.mark.parametrize("text", ["v : {sysdate > 5 => 1};", "v => eadv.a.dt.sum();", "d => eadv.a.dt.max(); v : {d in (1, 2) => 1};", "v : {" + "(" * 3000 + "1" + ")" * 3000 + " = 1 => 1};", "v : {date 'soon' < sysdate => 1};"])
+def test_compile_reports_whatever_goes_wrong(spark, eadv, text):
+    assert errors(spark, eadv, text).message
+
+
+def test_a_failing_source_is_reported(spark):
+    class Broken:
+        @property
+        def schema(self):
+            raise OSError("no such file")
+
+    r = Engine(spark, {"eadv": Broken()}).compile([RuleblockInput("m", "v => eadv.a.val.last();")])
+    assert not r.success and "no such file" in r.errors[0].message
+
+
+def test_written_results_keep_the_options_of_the_compile(spark, eadv, tmp_path):
+    engine = Engine(spark, {"eadv": eadv})
+    r = engine.compile([RuleblockInput("m", "n => eadv.lab_bld_egfr.val.count().where(dt > sysdate - 30); d : {. => sysdate};")], Options(static_sysdate="2020-02-01"))
+    got = spark.read.parquet(engine.write(r, str(tmp_path))["m"]).where("eid = 1").first()
+    assert (got.n, got.d) == (3, date(2020, 2, 1))

@@ -11,7 +11,7 @@ from ruleframe.expr import names
 from ruleframe.expr import parse as expression
 from ruleframe.graph import dependencies, find_cycle, ordered, prune_inputs, prune_outputs, subset, transform
 from ruleframe.model import Bind, Compute, Fetch
-from ruleframe.parser import parse_block, split, strip_comments
+from ruleframe.parser import parse_block, split, statements
 
 
 def rules(text, name="main"):
@@ -77,9 +77,21 @@ def test_split_joins_back(parts):
     assert ";".join(split(text, ";")) == text
 
 
-@given(st.text(alphabet="ab'`/*\n; ", max_size=40))
-def test_comments_leave_quotes_alone(text):
-    assert "//" not in text.replace("'", "").replace("`", "") or len(strip_comments(text)) <= len(text) + text.count("/*")
+@given(st.text(alphabet="ab'`/*\n; =>", max_size=40))
+def test_parts_of_any_text(text):
+    try:
+        parts = statements(text)
+    except RuleError as e:
+        assert "Unclosed quote" in str(e)
+        return
+    assert sum(map(len, parts)) <= len(text) + text.count("/*")
+
+
+def test_prose_keeps_its_apostrophes_to_itself():
+    b = parse_block(RuleblockInput("rb", "the patient's record; v => eadv.a.val.last(); 'tis `odd; w => eadv.b.val.count().where(val = 'x;y'); dogs' // it's\n; #doc({a: 'b;c'}); u /* c */ => eadv.c.val.sum();"))
+    assert [r.variable for r in b.rules] == ["v", "w", "u"] and b.rules[1].predicate == "val = 'x;y'" and len(b.warnings) == 3
+    with pytest.raises(RuleError, match="Unclosed quote"):
+        rules("v => eadv.a.val.last().where(val = 'x); w => eadv.b.val.last();")
 
 
 def test_names_of_an_expression():
