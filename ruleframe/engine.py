@@ -54,11 +54,16 @@ def read_blocks(rows: DataFrame) -> tuple[list[RuleblockInput], list[Message]]:
     return blocks, warnings
 
 
+#: Blocks that one plan spans at most: Spark's time to plan grows faster than a plan does.
+SPAN = 8
+
+
 class Frames(Mapping[str, DataFrame]):
     """The DataFrames of a compiled program by block name, each built when it is asked for.
 
     A block that several of the blocks asked for bind is stored below the shared folder when the first of them is built: else
-    its plan would be repeated in each, and doubled by every further level of binds. Nothing else runs before an action.
+    its plan would be repeated in each, and doubled by every further level of binds. So is every block at which a plan would
+    span ``SPAN`` blocks of a long chain. Nothing else runs before an action.
     """
 
     def __init__(self, engine: "Engine", plans: dict[str, Plan], names: dict[str, str], prefix: str):
@@ -88,12 +93,15 @@ class Frames(Mapping[str, DataFrame]):
         return out
 
     def store_shared(self, *keys: str) -> None:
-        """Store the blocks that two or more of the named blocks (of all, if none is named) and their sources bind."""
+        """Store the blocks that two or more of the named blocks (of all, if none is named) and their sources bind, and every ``SPAN``-th of a chain."""
         keys = keys or tuple(self._plans)
         binders = Counter(source for k in self._above(*keys) | set(keys) for source in self._plans[k].blocks)
+        span = {k: 0 for k in self._stored}
         for k in self._plans:  # sources first
-            if binders[k] > 1 and k not in self._stored:
-                self._stored[k] = materialize(self._frame(k), "block")
+            if k not in self._stored:
+                span[k] = 1 + sum(span.get(source, 0) for source in self._plans[k].blocks)
+                if binders[k] > 1 or binders[k] and span[k] >= SPAN:
+                    self._stored[k], span[k] = materialize(self._frame(k), "block"), 0
 
     def _frame(self, key: str) -> DataFrame:
         if key not in self._stored and key not in self._built:
