@@ -5,8 +5,9 @@ The largest total at which every source with documents can give its share withou
 the rest is an inclusion probability. Which documents get one copy more is drawn by balanced sampling: the cube method moves
 the probabilities through the null space of the constraints (number of documents, number of tokens) until each is 0 or 1,
 but for at most two per chunk. Chunks run apart; their remainders are gathered into chunks again until one remains per
-source, whose last few are landed by trying all outcomes and taking the nearest. The draw depends on ``seed`` and ``doc_id``
-only.
+source, whose last two are landed by trying all outcomes and taking the nearest. As lengths are heavy-tailed, that may still
+miss by a long document, so exchanges between drawn and other documents of one whole chunk of the source follow until no
+exchange comes nearer to the goal. The draw depends on ``seed`` and ``doc_id`` only.
 
 Defined cases: sources without a target give nothing; NULL and empty texts have size zero and are not used; a target whose
 source has no tokens cannot be met, is reported with share 0, and the other targets are scaled up; shares are scaled to sum
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -28,6 +29,8 @@ from .encode import sizes
 
 #: Documents of a source that one task balances.
 CHUNK = 20_000
+#: Moves up to which pairs of them are tried, too.
+FEW = 40_000
 #: Targets are a table of settings.
 MAX_TARGETS = 10_000
 
@@ -102,23 +105,71 @@ def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p
 
 
+def exchange(p: np.ndarray, x: np.ndarray, goal: float) -> np.ndarray:
+    """Add, drop or swap one document at a time (two where there are few) while that brings the drawn tokens nearer to ``goal``."""
+    p = p.copy()
+    while abs(r := goal - float((p * x).sum())) > 0.5:
+        free = np.flatnonzero(p == 0)
+        free = np.concatenate([[-1], free[np.argsort(x[free], kind="stable")]])
+        drawn = np.concatenate([[-1], np.flatnonzero(p == 1)])
+        gain, loss = np.where(free < 0, 0.0, x[free]), np.where(drawn < 0, 0.0, x[drawn])
+        at = np.clip(np.stack([np.searchsorted(gain, r + loss) - k for k in (0, 1)]), 0, len(gain) - 1)
+        off = np.abs(gain[at] - loss - r)
+        k = np.unravel_index(off.argmin(), off.shape)
+        best, moves = off[k], [(free[at[k]], drawn[k[1]])]
+        if best > 0.5 and len(free) * len(drawn) <= FEW:
+            best, moves = min((best, moves), _two_moves(free, drawn, gain, loss, r), key=lambda m: m[0])
+        if best >= abs(r) - 1e-9:
+            return p
+        for add, drop in moves:
+            if add >= 0:
+                p[add] = 1
+            if drop >= 0:
+                p[drop] = 0
+    return p
+
+
+def _two_moves(free: np.ndarray, drawn: np.ndarray, gain: np.ndarray, loss: np.ndarray, r: float) -> tuple[float, list[tuple[int, int]]]:
+    """The best pair of moves that touch different documents, among each move's nearest partners."""
+    d = (gain[:, None] - loss[None, :]).ravel()
+    order = np.argsort(d, kind="stable")
+    at = np.searchsorted(d[order], r - d)
+    best: tuple[float, list[tuple[int, int]]] = (np.inf, [])
+    for k in (-2, -1, 0, 1):
+        other = order[np.clip(at + k, 0, len(d) - 1)]
+        i, j = np.divmod(np.arange(len(d)), len(drawn))
+        i2, j2 = np.divmod(other, len(drawn))
+        apart = ((free[i] != free[i2]) | (free[i] < 0)) & ((drawn[j] != drawn[j2]) | (drawn[j] < 0))
+        off = np.where(apart, np.abs(d + d[other] - r), np.inf)
+        m = int(off.argmin())
+        if off[m] < best[0]:
+            best = (float(off[m]), [(free[i[m]], drawn[j[m]]), (free[i2[m]], drawn[j2[m]])])
+    return best
+
+
 def _balance(docs: DataFrame, seed: int, level: int, last: bool) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id", "tokens"], kind="stable").reset_index(drop=True)
         x = rows["tokens"].to_numpy(float)
         p = flight(rows["p"].to_numpy(float), x, _uniform(seed, level, *key))
-        rows["p"] = land(p, x) if last else p
+        rows["p"] = exchange(land(p, x), x, float((p * x).sum())) if last else p
         return rows
 
     return docs.groupBy("source", "chunk").applyInPandas(run, docs.schema)
 
 
-def rates(sized: DataFrame, targets: DataFrame) -> list[Rate]:
-    """What each target's source gives: one row per target on the driver."""
-    wanted = targets.select(canonical_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").alias("repeats"))
-    rows = wanted.where("source is not null and share > 0 and repeats > 0").groupBy("source").agg(F.sum("share").alias("share"), F.min("repeats").alias("repeats")).limit(MAX_TARGETS + 1).collect()
+def wanted(targets: DataFrame) -> list[Row]:
+    """``source, share, repeats`` of every valid target on the driver; more than ``MAX_TARGETS`` are refused."""
+    rows = targets.select(canonical_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").alias("repeats"))
+    rows = rows.where("source is not null and share > 0 and not isnan(share) and repeats > 0").groupBy("source").agg(F.sum("share").alias("share"), F.min("repeats").alias("repeats"))
+    rows = rows.limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
+    return sorted(rows, key=lambda r: r.source)
+
+
+def rates(sized: DataFrame, rows: list[Row]) -> list[Rate]:
+    """What each target's source gives; ``sized`` holds documents of these sources only."""
     have = {r.source: r for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
     found = [r for r in rows if r.source in have]
     whole = sum(r.share for r in found)
@@ -134,11 +185,12 @@ def rates(sized: DataFrame, targets: DataFrame) -> list[Rate]:
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, chunk: int = CHUNK) -> tuple[DataFrame, list[Rate]]:
     """``doc_id, source, tokens, copies`` of every document used, and the rates."""
     spark = documents.sparkSession
-    names = targets.select(canonical_source(F.col("source")).alias("source")).distinct()
+    rows = wanted(targets)
+    names = spark.createDataFrame([(r.source,) for r in rows], "source string")
     known = documents.withColumn("source", canonical_source(F.col("source"))).where("source is not null and length(text) > 0")
-    known = known.join(F.broadcast(names.limit(MAX_TARGETS)), "source", "left_semi")
+    known = known.join(F.broadcast(names), "source", "left_semi")
     sized = materialize(sizes(known, ["doc_id", "source"]), "sizes").where("tokens > 0")
-    plan = rates(sized, targets)
+    plan = rates(sized, rows)
     lookup = spark.createDataFrame([(r.source, r.copies, r.rest, max(1, -(-r.documents // chunk))) for r in plan], "source string, copies int, p double, chunks int")
     docs = sized.join(F.broadcast(lookup), "source")
     order = F.xxhash64(F.lit(seed), "doc_id", "tokens")
@@ -146,13 +198,17 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, chunk: int = CH
     whole = docs.where("p <= 1e-9 or p >= 1 - 1e-9")
     open_ = docs.where("p > 1e-9 and p < 1 - 1e-9")
     done, level = [whole], 0
+    closed = "(p <= 1e-9 or p >= 1 - 1e-9)"
     most = max((-(-r.documents // chunk) for r in plan), default=1)
     while most > 1:
         flown = materialize(_balance(open_, seed, level, False), "flight")
-        done.append(flown.where("p <= 1e-9 or p >= 1 - 1e-9"))
+        # the documents of one chunk come along to the end, for exchanges
+        along = "chunk = 0" if level == 0 else "chunk < 0"
+        done.append(flown.where(f"{closed} and not ({along})"))
         most = -(-2 * most // chunk)
         level += 1
-        open_ = flown.where("p > 1e-9 and p < 1 - 1e-9").withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + level), "order"), F.lit(most)).cast("int"))
+        again = F.when(F.expr(closed), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.lit(seed + level), "order"), F.lit(most)))
+        open_ = flown.where(f"not {closed} or {along}").withColumn("chunk", again.cast("int"))
     done.append(_balance(open_.withColumn("chunk", F.lit(0)), seed, level, True))
     every = done[0]
     for d in done[1:]:
@@ -162,12 +218,24 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, chunk: int = CH
 
 
 def shares(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """Per target: ``source, target_share, reached_share, tokens, documents, most_used``."""
+    """Per target: ``source, target_share, reached_share, tokens, documents, copies, most_used``; ``documents`` are different ones, ``copies`` all uses."""
     used, plan = mix(documents, targets, seed)
     spark = documents.sparkSession
-    wanted = spark.createDataFrame([(r.source, r.target) for r in plan], "source string, target_share double")
-    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("documents"), F.max("copies").alias("most_used"))
-    every = wanted.join(got, "source", "left").fillna(0, ["tokens", "documents", "most_used"])
+    goals = spark.createDataFrame([(r.source, r.target) for r in plan], "source string, target_share double")
+    counts = [F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_used")]
+    got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), *counts)
+    every = goals.join(got, "source", "left").fillna(0, ["tokens", "documents", "copies", "most_used"])
     total = got.agg(F.sum("tokens").alias("all"))
     share = F.coalesce(F.col("tokens") / total.scalar(), F.lit(0.0))
-    return every.select("source", "target_share", share.alias("reached_share"), "tokens", "documents", "most_used")
+    return every.select("source", "target_share", share.alias("reached_share"), "tokens", "documents", "copies", "most_used")
+
+
+def met(documents: DataFrame, targets: DataFrame, seed: int = 7, within: float = 0.005) -> DataFrame:
+    """Per target: ``source``, ``goal`` (its share among the targets whose source has documents), whether it is ``met`` within a
+    relative error, and whether no document is used too often (``kept``)."""
+    s = materialize(shares(documents, targets, seed), "shares")
+    repeats = documents.sparkSession.createDataFrame([(r.source, r.repeats) for r in wanted(targets)], "source string, repeats int")
+    whole = s.where("tokens > 0").agg(F.sum("target_share")).scalar()
+    goal = F.when(F.col("tokens") > 0, F.col("target_share") / whole)
+    near = F.coalesce(F.abs(F.col("reached_share") / goal - 1) <= within, F.lit(False))
+    return s.join(F.broadcast(repeats), "source").select("source", F.round(goal, 6).alias("goal"), near.alias("met"), (F.col("most_used") <= F.col("repeats")).alias("kept"))

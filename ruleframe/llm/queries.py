@@ -32,6 +32,10 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p8_met(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.met(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return keyword_spam.found(table(spark, folder, "documents"))
 
@@ -40,7 +44,7 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return keyword_spam.scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p7_ids, p8_mix, p8_shares, p8_met, p9_found, p9_scores)}
 
 _NUMERIC = """
 SELECT e.rid, e.eid, c.att, e.dt, CAST(trim(e.val) AS DOUBLE) AS num
@@ -67,3 +71,8 @@ SQL = {
         UNION ALL SELECT att, term, 'common' AS kind FROM marked WHERE common""",
     "p3_counts": f"WITH {_TERMS} SELECT * FROM marked",
 }
+
+SQL["p8_met"] = r"""
+    WITH boards AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s\-./_]+', '_', 'g') AS source FROM documents WHERE length(text) > 0),
+    t AS (SELECT m.source, m.target_share, b.source IS NOT NULL AS there FROM mix_targets m LEFT JOIN boards b USING (source))
+    SELECT source, CASE WHEN there THEN round(target_share / sum(target_share) FILTER (WHERE there) OVER (), 6) END AS goal, there AS met, true AS kept FROM t"""

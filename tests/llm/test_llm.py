@@ -168,6 +168,19 @@ def test_flight_keeps_both_totals(n, p, seed):
     assert set(landed) <= {0.0, 1.0} and abs((landed * x).sum() - (start * x).sum()) <= 2000
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.integers(0, 10_000))
+def test_exchanges_come_nearer_to_the_goal(n, seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.lognormal(4, 1.2, n)) + 1
+    p = (rng.random(n) < 0.5).astype(float)
+    goal = float((rng.random(n) < 0.5) @ x)
+    end = mixing.exchange(p, x, goal)
+    assert set(end) <= {0.0, 1.0} and abs(end @ x - goal) <= abs(p @ x - goal)
+    if n >= 40:
+        assert abs(end @ x - goal) <= max(1.0, 0.002 * x.sum())
+
+
 def test_flight_is_unbiased():
     x = np.array([1.0, 2.0, 3.0, 10.0, 50.0, 7.0])
     mean = np.mean([mixing.flight(np.full(6, 0.4), x, np.random.default_rng(s)) for s in range(3000)], axis=0)
@@ -191,11 +204,13 @@ def test_mix(spark):
             tokens[r.source] += r.tokens * r.copies
         total = sum(tokens.values())
         want = {"big_board": 5 / 9, "small_board": 2 / 9, "mid_board": 2 / 9}
-        assert {s: tokens[s] / total for s in want} == pytest.approx(want, abs=0.003)
+        assert {s: tokens[s] / total for s in want} == pytest.approx(want, rel=0.001)
         assert {r.doc_id: r.copies for r in mixing.mix(df, targets, chunk=chunk)[0].collect()} == {i: r.copies for i, r in got.items()}
     s = {r.source: r for r in mixing.shares(df, targets).collect()}
     assert (s["empty_board"].reached_share, s["empty_board"].tokens, s["empty_board"].target_share) == (0.0, 0, 0.1)
-    assert sum(r.reached_share for r in s.values()) == pytest.approx(1)
+    assert sum(r.reached_share for r in s.values()) == pytest.approx(1) and s["small_board"].copies > s["small_board"].documents
+    junk = targets.unionAll(spark.createDataFrame([(None, 0.5, 1), ("no_target", 0.0, 1), ("small_board", 0.3, 0), ("BIG-BOARD", float("nan"), 2)], targets.schema))
+    assert {r.source: r.reached_share for r in mixing.shares(df, junk).collect()} == pytest.approx({k: r.reached_share for k, r in s.items()})
     assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
@@ -290,12 +305,12 @@ def test_a_very_long_page_is_measured_whole():
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no driver tables")
-@pytest.mark.parametrize("name", sorted(llm_queries.SQL))
+@pytest.mark.parametrize("name", sorted(set(llm_queries.SQL) - {"p8_met"}))  # boards of three documents cannot meet a share
 def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("eadv", "att_catalog"):
+    for t in ("eadv", "att_catalog", "documents", "mix_targets"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = llm_queries.QUERIES[name](spark, FOLDER)
     cursor = con.execute(llm_queries.SQL[name])
@@ -304,6 +319,14 @@ def test_same_as_sql(spark, name):
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[i] for i in order) for r in cursor.fetchall())
 
 
+@pytest.mark.skipif(not Path(FOLDER).with_name("sf0.01").exists() or not VOCABULARY.exists(), reason="no driver tables")
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_shares_are_met_on_the_given_tables(spark, seed):
+    folder = Path(FOLDER).with_name("sf0.01")
+    rows = mixing.met(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/mix_targets.parquet"), seed).collect()
+    assert sum(r.met for r in rows) >= 9 and all(r.met == (r.goal is not None) and r.kept for r in rows)
+
+
 @pytest.mark.skipif(not Path(FOLDER).exists() or not VOCABULARY.exists(), reason="no driver tables")
 @pytest.mark.parametrize("name", ["p7_ids", "p8_mix", "p8_shares", "p9_found", "p9_scores"])
 def test_runs(spark, name):
