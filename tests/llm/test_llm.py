@@ -4,6 +4,7 @@ import base64
 import os
 import random
 import sys
+import time
 from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -129,8 +130,8 @@ def text_rows(spark, rows):
 
 @pytest.mark.parametrize("max_bytes", [1, 1 << 30])
 def test_terms_against_brute_force(spark, catalog, monkeypatch, max_bytes):
-    monkeypatch.setattr(terms, "LEVELS", 3)
-    monkeypatch.setattr(terms, "FOLD_ROWS", 50)
+    monkeypatch.setattr(terms, "ALL_BITS", 14)
+    monkeypatch.setattr(terms, "FOLD_BYTES", 4000)
     rng = random.Random(4)
     words = ["the", "The", "ÉTÉ", "été", "x1", "日本", "a_b", "don't", "हिन्दी"] + [f"w{i}" for i in range(200)]
     rows = [(rng.choice(["note", " NOTE ", "lab_k"]), rng.choice([None, "", "  ", "!!!", " ".join(rng.choices(words, k=rng.randrange(1, 30)))])) for _ in range(400)]
@@ -144,6 +145,16 @@ def test_terms_against_brute_force(spark, catalog, monkeypatch, max_bytes):
     assert all((r.rare, r.common) == (records[t] <= 2, records[t] * 4 > holding) for t, r in got.items())
 
 
+def test_terms_of_one_long_text_and_a_folder_with_odd_marks(spark, catalog, tmp_path, monkeypatch):
+    monkeypatch.setattr(terms, "workspace", lambda spark, tag: f"file://{tmp_path}/a b%20'c/{tag}")
+    text = " ".join(f"w{i} w{i % 7}" for i in range(80_000))  # a megabyte
+    terms.marked(text_rows(spark, [("note", "compiles the code")]), catalog).count()
+    began = time.perf_counter()
+    got = {r.term: (r.occurrences, r.records) for r in terms.marked(text_rows(spark, [("note", text), ("note", "w3")]), catalog).collect()}
+    assert time.perf_counter() - began < 20 and len(got) == 80_000
+    assert got["w3"] == (1 + 11429 + 1, 2) and got["w79999"] == (1, 1)
+
+
 def test_terms_of_little(spark, catalog):
     both = text_rows(spark, [("note", "only"), ("note", "only")])
     assert {tuple(r) for r in terms.kinds(both, catalog).collect()} == {("note", "only", "rare"), ("note", "only", "common")}
