@@ -163,6 +163,23 @@ def encode(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOC
     return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode_ids(bytes_of: dict[int, bytes], ids: list[int]) -> str:
+    return b"".join(bytes_of[i] for i in ids).decode()
+
+
+def decode(encoded: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, ids``: the way back; an id that the vocabulary lacks is an error."""
+    raw = encoded.sparkSession.sparkContext.broadcast(load(f"{folder}/{vocabulary}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _encoder(raw.value)
+        for b in batches:
+            texts = [None if ids is None else decode_ids(e.bytes, ids) for ids in b.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def sizes(documents: DataFrame, keep: list[str], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the number of ids of ``text``."""
     raw = documents.sparkSession.sparkContext.broadcast(load(f"{folder}/{vocabulary}"))

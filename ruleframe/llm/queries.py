@@ -24,6 +24,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(table(spark, folder, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as its token ids give it back."""
+    return encode.decode(encode.encode(table(spark, folder, "documents")))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
@@ -44,7 +49,7 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     return keyword_spam.scores(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p7_ids, p8_mix, p8_shares, p8_met, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_counts, p7_ids, p7_round_trip, p8_mix, p8_shares, p8_met, p9_found, p9_scores)}
 
 _NUMERIC = """
 SELECT e.rid, e.eid, c.att, e.dt, CAST(trim(e.val) AS DOUBLE) AS num
@@ -76,3 +81,4 @@ SQL["p8_met"] = r"""
     WITH boards AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[\s\-./_]+', '_', 'g') AS source FROM documents WHERE length(text) > 0),
     t AS (SELECT m.source, m.target_share, b.source IS NOT NULL AS there FROM mix_targets m LEFT JOIN boards b USING (source))
     SELECT source, CASE WHEN there THEN round(target_share / sum(target_share) FILTER (WHERE there) OVER (), 6) END AS goal, there AS met, true AS kept FROM t"""
+SQL["p7_round_trip"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

@@ -87,6 +87,12 @@ def test_ids_against_the_reference_library(spark):
             encode.MAX_BYTES = kept
 
 
+def test_decoding_gives_the_texts_back():
+    e = encode.Encoder(small_vocabulary())
+    for text in ("", "abc the é\n", "日本 \U0001f600 aaaa"):
+        assert encode.decode_ids(e.bytes, e.encode([text])[0]) == text
+
+
 # top items
 
 
@@ -98,14 +104,15 @@ def test_bins_never_fall_as_scores_rise(spark):
     assert bins == sorted(bins)
 
 
-@pytest.mark.parametrize("small", [5, 2000])
-def test_top_against_brute_force(spark, monkeypatch, small):
-    monkeypatch.setattr(top_items, "SMALL", small)
+@pytest.mark.parametrize(("worth", "most"), [(1, 1000), (1, 2), (8, 1000), (1 << 20, 1000)])
+def test_top_against_brute_force(spark, monkeypatch, worth, most):
+    monkeypatch.setattr(top_items, "WORTH", worth)
+    monkeypatch.setattr(top_items, "EDGES", most)
     rng = random.Random(3)
     rows = [(i, rng.choice([1, 1, 1, 1, 2, 3, None]), rng.choice("ab"), rng.choice([None, 1.0, 2.0, 2.0, -1.0, 0.0, -0.0, rng.gauss(0, 1)]), rng.randrange(5)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, g long, h string, score double, t int").withColumn("__n", F.lit(1)).withColumn("__edge", F.lit("x"))
     df = df.drop("__n", "__edge").withColumn("extra", F.lit("kept"))
-    got = {(r.g, r.h, r["rank"]): r.id for r in top_items.top(df, ["g", "h"], "score", 4, [F.desc_nulls_last("t"), F.asc("id")], len(rows)).collect()}
+    got = {(r.g, r.h, r["rank"]): r.id for r in top_items.top(df, ["g", "h"], "score", 4, [F.desc_nulls_last("t"), F.asc("id")]).collect()}
     want = {}
     for key in {(r[1], r[2]) for r in rows}:
         mine = sorted((r for r in rows if (r[1], r[2]) == key and r[3] is not None), key=lambda r: (-r[3], -r[4], r[0]))
@@ -146,7 +153,8 @@ def test_terms_against_brute_force(spark, catalog, monkeypatch, max_bytes):
 
 
 def test_terms_of_one_long_text_and_a_folder_with_odd_marks(spark, catalog, tmp_path, monkeypatch):
-    monkeypatch.setattr(terms, "workspace", lambda spark, tag: f"file://{tmp_path}/a b%20'c/{tag}")
+    numbers = iter(range(9))
+    monkeypatch.setattr(terms, "workspace", lambda spark, tag: f"file://{tmp_path}/a b%20'c/{tag}-{next(numbers)}")
     text = " ".join(f"w{i} w{i % 7}" for i in range(80_000))  # a megabyte
     terms.marked(text_rows(spark, [("note", "compiles the code")]), catalog).count()
     began = time.perf_counter()
