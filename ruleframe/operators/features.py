@@ -7,8 +7,9 @@ as-of date and any window are answered from the same stored table without the ra
 Resent rows (equal but for ``rid``, ``loaded_ts`` and the writing of ``att``) count once. Rows are placed by ``dt`` only, so
 late rows count where they belong and future rows lie after the as-of date.
 
-Skew: rows are first hashed by (entity, type, day), where a hot entity or type spreads over its days; resends and days are
-folded there. Only day rows are hashed by entity, at most one per type and day.
+Skew: rows are hashed by (entity, type, day), where a hot entity or type spreads over its days; resends and days are folded
+there. (Resends arrive apart from each other, so folding them before that shuffle would cost a hash table and save little.)
+Day rows are hashed by (entity, type); only the answers, one per type, are hashed by entity.
 
 Defined cases: an entity without a row before the as-of date has counts 0 and NULL elsewhere; NULL ``eid`` has no row; rows
 with NULL ``dt`` or of an uncatalogued name only keep their entity; totals add the numbers read from ``val`` and are NULL if
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..expr import literal, quoted
 from ..functions.values import number
+from ..session import materialize
 from ..sources.tables import attributes, catalogued
 
 
@@ -41,10 +44,18 @@ def daily(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def cumulative(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The stored table: ``eid, att_id, day, cum_n, cum_total, last_dt``, hashed by entity."""
+    """What is stored: ``eid, att_id, day, cum_n, cum_total, last_dt``."""
     w = Window.partitionBy("eid", "att_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    days = daily(eadv, catalog).repartition("eid")
-    return days.select("eid", "att_id", "day", F.sum("n").over(w).alias("cum_n"), F.sum("total").over(w).alias("cum_total"), "last_dt")
+    return daily(eadv, catalog).select("eid", "att_id", "day", F.sum("n").over(w).alias("cum_n"), F.sum("total").over(w).alias("cum_total"), "last_dt")
+
+
+def store(eadv: DataFrame, catalog: DataFrame, path: str | None = None) -> DataFrame:
+    """The cumulative table as a table: at ``path``, to be answered from later, or below the shared folder."""
+    table = cumulative(eadv, catalog)
+    if path is None:
+        return materialize(table, "cumulative")
+    table.write.mode("overwrite").parquet(path)
+    return eadv.sparkSession.read.schema(table.schema).parquet(path)
 
 
 def as_of(table: DataFrame, when: date, windows: tuple[int, ...] = ()) -> DataFrame:
@@ -59,10 +70,10 @@ def as_of(table: DataFrame, when: date, windows: tuple[int, ...] = ()) -> DataFr
     return out.select("eid", "att_id", F.col("p.cum_n").alias("n"), F.datediff(end, "p.last_dt").alias("days_since"), F.col("p.cum_total").alias("total"), *extra)
 
 
-def features(eadv: DataFrame, catalog: DataFrame, when: date, windows: tuple[int, ...] = ()) -> DataFrame:
-    """One row per ``eid``; per catalogued name ``<att>__n``, ``__days_since``, and for numbers ``__total``, and each window's."""
+def features(table: DataFrame, catalog: DataFrame, when: date, windows: tuple[int, ...] = ()) -> DataFrame:
+    """One row per ``eid`` of a stored table; per catalogued name ``<att>__n``, ``__days_since``, and for numbers ``__total``, and each window's."""
     names = attributes(catalog)
-    long = as_of(cumulative(eadv, catalog), when, windows)
+    long = as_of(table, when, windows).repartition("eid")  # at most one row per name: no entity is large any more
     measures = [c for c in long.columns if c not in ("eid", "att_id")]
     ids = list(range(len(names))) or [-1]
     wide = long.groupBy("eid").pivot("att_id", ids).agg(*(F.max(c).alias(c) for c in measures))
@@ -76,9 +87,19 @@ def features(eadv: DataFrame, catalog: DataFrame, when: date, windows: tuple[int
     return wide.selectExpr("eid", *out)
 
 
-def features_long(eadv: DataFrame, catalog: DataFrame, when: date, windows: tuple[int, ...] = ()) -> DataFrame:
+def features_long(table: DataFrame, catalog: DataFrame, when: date, windows: tuple[int, ...] = ()) -> DataFrame:
     """The same features by entity and name, where there is an observation before ``when``."""
     names = attributes(catalog)
-    lookup = eadv.sparkSession.createDataFrame([(i, a.att) for i, a in enumerate(names)], "att_id int, att string")
-    long = as_of(cumulative(eadv, catalog), when, windows).where("n is not null")
+    lookup = table.sparkSession.createDataFrame([(i, a.att) for i, a in enumerate(names)], "att_id int, att string")
+    long = as_of(table, when, windows).where("n is not null")
     return long.join(F.broadcast(lookup), "att_id").drop("att_id")
+
+
+def sums(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Per catalogued name of a feature table: ``att`` and the sums of its columns over all entities."""
+    names = attributes(catalog)
+    column = lambda a, c: quoted(f"{a.att}__{c}")
+    total = lambda a: f"round(sum({column(a, 'total')}), 2)" if a.data_type == "NUMERIC" else "CAST(NULL AS double)"
+    wide = [x for i, a in enumerate(names) for x in (f"sum({column(a, 'n')}) AS n{i}", f"sum({column(a, 'days_since')}) AS d{i}", f"{total(a)} AS t{i}")]
+    out = ", ".join(f"struct({literal(a.att)} AS att, n{i} AS n, d{i} AS days_since, t{i} AS total)" for i, a in enumerate(names))
+    return rows.selectExpr(*wide).selectExpr(f"inline(array({out}))")

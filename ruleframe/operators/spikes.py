@@ -6,14 +6,15 @@
   readings, that side's level is the middle one of its reading, the other side's level and the source's median, or the source's
   median if it has none. "Far" is relative to the interquartile range of the source's
   residuals, taken from quantile sketches that are merged across partitions by hour context, with the whole source as
-  fallback where a context holds too few readings.
+  fallback where a context holds too few readings. A reading less far off is a spike, too, if it rises and falls again (or
+  falls and rises) at a rate that is implausible for the source: ``RATE`` times the upper quartile of its rates of change.
 * Stuck: ``RUN`` or more readings in a row, at different times, of one number, in a source that normally varies (how often a
   reading repeats the one before is counted per source and per name, stuck stretches left aside).
 
-Sources of more than ``heavy`` rows are cut along time into chunks of about that size, each with a halo of neighbouring
-readings, so no task holds a whole hot source; the result is the same, bursts or not, as long as ``HALO`` rows hold the few
-readings that a neighbour needs. The limit grows with the table, which bounds the
-list of such sources; only that list is broadcast.
+Sources of more than ``heavy`` rows are cut along time into chunks of about that size, so no task holds a whole hot source.
+Each chunk has a halo of the readings at the ``HALO`` instants before and after it that hold a usable one, however many other
+rows lie between and however far away they are; a verdict looks at ``RUN`` readings on either side at most, so it is the same
+as without the cut. The limit grows with the table, which bounds the list of such sources; only that list is broadcast.
 
 Defined cases: rows with NULL ``eid`` or ``dt`` are only held against the limits; a ``val`` that states no number is no reading;
 resent copies (same source, time and number) count once and share the verdict; NaN or NULL limits are unknown; sources of
@@ -53,8 +54,17 @@ CONTEXT_LEAST = 40
 HEAVY_SOURCES = 200_000
 #: Buckets of time that a chunk has on average, and parts of a bucket that is split again.
 PARTS = 64
-#: Rows on either side of a chunk that it sees besides its own, at least.
+#: Instants with a usable reading on either side of a chunk that it sees besides its own, at least.
 HALO = 200
+#: Rows above which a source is cut.
+HEAVY = 10_000
+#: Interquartile ranges of the residual, and upper quartiles of the rate of change, from which both together make a spike.
+NEAR = 2.5
+RATE = 10.0
+
+
+def limits(catalog: DataFrame) -> DataFrame:
+    return catalog.select("*", *(F.when(~F.isnan(c), F.col(c)).alias(n) for c, n in (("phys_low", "lo"), ("phys_high", "hi"))))
 
 
 def readings(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -62,8 +72,7 @@ def readings(eadv: DataFrame, catalog: DataFrame) -> DataFrame:
 
     ``text`` tells values without a number apart and is NULL for numbers. Rows without a number are kept, as they count as delivered.
     """
-    known = catalog.select("*", *(F.when(~F.isnan(c), F.col(c)).alias(n) for c, n in (("phys_low", "lo"), ("phys_high", "hi"))))
-    rows = catalogued(spread(eadv.select("rid", "eid", "att", "dt", "val")), known, ["rid", "eid", "att", "dt", "val"], ("NUMERIC",), extra=("lo", "hi")).where("unit is not null")
+    rows = catalogued(spread(eadv.select("rid", "eid", "att", "dt", "val")), limits(catalog), ["rid", "eid", "att", "dt", "val"], ("NUMERIC",), extra=("lo", "hi")).where("unit is not null")
     rows = rows.select("rid", "eid", "att_id", "dt", number(F.col("val"), F.col("unit")).alias("num"), F.xxhash64("val").alias("text"), "lo", "hi")
     return rows.withColumn("text", F.when(F.col("num").isNull(), F.col("text")))
 
@@ -76,10 +85,10 @@ def _chunks(eadv: DataFrame, catalog: DataFrame, heavy: int) -> tuple[DataFrame,
 
     A source's time is split into buckets, those of more than ``limit`` rows (bursts) again until they hold fewer or are one
     instant. Buckets in order make chunks of about ``limit`` rows, twice that at most but for one instant, which is never split.
-    The halo of a chunk reaches over at least ``HALO`` rows on either side, however far away in time and over however many chunks.
+    The halo of a chunk reaches over at least ``HALO`` usable instants on either side, however far away in time and over however many chunks.
     """
-    rows = catalogued(eadv, catalog, ["eid", "att", "dt"], ("NUMERIC",)).where("unit is not null and eid is not null and dt is not null")
-    rows = rows.select("eid", "att_id", _micros().alias("us"))
+    rows = catalogued(eadv, limits(catalog), ["eid", "att", "dt", "val"], ("NUMERIC",), extra=("lo", "hi")).where("unit is not null and eid is not null and dt is not null")
+    rows = rows.select("eid", "att_id", _micros().alias("us"), "val", "unit", "lo", "hi")
     limit = max(heavy, eadv.count() // HEAVY_SOURCES + 1)
     large = rows.groupBy("eid", "att_id").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("t0"), F.max("us").alias("t1")).where(F.col("n") > limit)
     large = materialize(large.select("eid", "att_id", "t0", "t1", _width(F.col("t1") - F.col("t0") + 1, limit).alias("width")), "heavy")
@@ -90,8 +99,9 @@ def _chunks(eadv: DataFrame, catalog: DataFrame, heavy: int) -> tuple[DataFrame,
         again = over.select("eid", "att_id", "at", "end", _width(F.col("end") - F.col("at"), limit).alias("width"))
         leaves = materialize(leaves.join(over, ["eid", "att_id", "at"], "left_anti").unionByName(_leaves(rows, again)), "leaves")
     source = Window.partitionBy("eid", "att_id")
-    before = leaves.withColumn("k", F.sum("n").over(source.orderBy("at")) - F.col("n")).withColumn("back", -F.col("k"))
-    far = before.withColumn("lo", F.max("at").over(source.orderBy("k").rangeBetween(Window.unboundedPreceding, -HALO)))
+    so_far = lambda c: F.sum(c).over(source.orderBy("at")) - F.col(c)
+    before = leaves.withColumns({"k": so_far("n"), "seen": so_far("usable")}).withColumn("back", -F.col("seen"))
+    far = before.withColumn("lo", F.max("at").over(source.orderBy("seen").rangeBetween(Window.unboundedPreceding, -HALO)))
     far = far.withColumn("hi", F.min("at").over(source.orderBy("back").rangeBetween(Window.unboundedPreceding, -HALO)))
     chunks = far.groupBy("eid", "att_id", F.floor(F.col("k") / limit).alias("part")).agg(F.min("at").alias("start"), F.min_by("lo", "at").alias("lo"), F.min_by("hi", "at").alias("hi"))
     parts = source.orderBy("part")
@@ -109,10 +119,18 @@ def _width(time: Column, limit: int) -> Column:
 
 
 def _leaves(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``eid, att_id, at, end, n`` of the parts of buckets that hold rows, each of ``width`` and inside its bucket."""
+    """``eid, att_id, at, end, n, usable`` of the parts of buckets that hold rows, each of ``width`` and inside its bucket; ``usable`` counts instants."""
     j = rows.join(F.broadcast(buckets), ["eid", "att_id"]).where("us >= at and us < end")
-    j = j.select("eid", "att_id", F.expr("at + ((us - at) div width) * width").alias("at"), "width", "end")
-    return materialize(j.groupBy("eid", "att_id", "at", "width", "end").agg(F.count(F.lit(1)).alias("n")).select("eid", "att_id", "at", F.least("end", F.col("at") + F.col("width")).alias("end"), "n"), "leaves")
+    num = number(F.col("val"), F.col("unit"))
+    j = j.select("eid", "att_id", F.expr("at + ((us - at) div width) * width").alias("at"), "width", "end", "us", num.alias("num"), "lo", "hi")
+    instants = F.count_distinct(F.when(F.col("num").isNotNull() & ~_bad(), F.col("us"))).alias("usable")
+    leaves = j.groupBy("eid", "att_id", "at", "width", "end").agg(F.count(F.lit(1)).alias("n"), instants)
+    return materialize(leaves.select("eid", "att_id", "at", F.least("end", F.col("at") + F.col("width")).alias("end"), "n", "usable"), "leaves")
+
+
+def _bad() -> Column:
+    """Outside the limits of its name."""
+    return F.coalesce(F.col("num") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("num") > F.col("hi"), F.lit(False))
 
 
 def _micros() -> Column:
@@ -140,7 +158,8 @@ def _chunked(rows: DataFrame, cut: tuple[DataFrame, DataFrame] | None) -> DataFr
     j = j.join(small(chunks), ["eid", "att_id", "bucket"], "left")
     inside = F.filter("places", lambda x: (x["lo"] <= F.col("us")) & (F.col("us") < x["hi"]))
     own = F.transform(inside, lambda x: _place(x["chunk"], (F.col("us") < x["start"]) | (F.col("us") >= x["stop"])))
-    return j.select(*rows.columns, F.inline(F.coalesce(own, F.array(_place(lone, F.lit(False))))))
+    placed = j.select(*rows.columns, F.inline(F.coalesce(own, F.array(_place(lone, F.lit(False))))))
+    return placed.where(~F.col("halo") | (F.col("num").isNotNull() & ~_bad()))
 
 
 def _median(values: list[Column]) -> Column:
@@ -161,11 +180,10 @@ def observed(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("dt", "num", "text", "rid")
     again = F.coalesce((F.lag("dt").over(w) == F.col("dt")) & F.lag("num").over(w).eqNullSafe(F.col("num")) & F.lag("text").over(w).eqNullSafe(F.col("text")), F.lit(False))
     rows = rows.withColumn("first", ~again)
-    bad = F.coalesce(F.col("num") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("num") > F.col("hi"), F.lit(False))
-    rows = rows.withColumn("bad", bad).withColumn("s", F.when(F.col("first") & ~F.col("bad") & F.col("num").isNotNull(), F.struct("dt", "num")))
+    rows = rows.withColumn("bad", _bad()).withColumn("s", F.when(F.col("first") & ~F.col("bad") & F.col("num").isNotNull(), F.struct("dt", "num")))
     rows = rows.withColumns({n: F.expr(f"{f}(s, {k}) IGNORE NULLS OVER ({_ORDER})") for n, f, k in (("p1", "lag", 1), ("p2", "lag", 2), ("q1", "lead", 1), ("q2", "lead", 2))})
     rows = rows.withColumn("v", F.when(F.col("s").isNotNull() & ~_contradicted(), F.col("num"))).drop("s", "p1", "p2", "q1", "q2")
-    near = {}
+    near = {n: F.expr(f"{f}(CASE WHEN v IS NOT NULL THEN unix_micros(CAST(dt AS timestamp)) END) IGNORE NULLS OVER ({_ORDER})") for n, f in (("ta", "lag"), ("tb", "lead"))}
     for k in range(1, RUN):
         near[f"a{k}"] = F.expr(f"lag(v, {k}) IGNORE NULLS OVER ({_ORDER})")
         near[f"b{k}"] = F.expr(f"lead(v, {k}) IGNORE NULLS OVER ({_ORDER})")
@@ -177,6 +195,8 @@ def observed(rows: DataFrame) -> DataFrame:
         "level": _median([c(f"{s}{k}") for s in "ab" for k in (1, 2, 3)]), "run": F.lit(1) + same["a"] + same["b"],
     })
     up, down = c("num") - F.greatest("before", "after"), F.least("before", "after") - c("num")
+    hours = lambda t: F.greatest(t / 3.6e9, F.lit(1 / 3600))
+    come, go = (c("num") - c("a1")) / hours(_micros() - c("ta")), (c("b1") - c("num")) / hours(c("tb") - _micros())
     known = {s: c(f"{s}{SIDE}").isNotNull() for s in "ab"}
     enough = known["a"] & known["b"]
     # near an end: the full side's level, the short side's reading, and whether the next reading of the full side is no part of the same excursion
@@ -188,7 +208,7 @@ def observed(rows: DataFrame) -> DataFrame:
     return rows.select(
         "rid", "eid", "att_id", "dt", "num", "first", "bad", "run", (c("num") - c("level")).alias("residual"), c("level"),
         F.when(enough & ~c("bad"), F.greatest(up, down, F.lit(0.0))).alias("off"), (c("a1") == c("num")).alias("repeats"),
-        F.floor(F.hour("dt") / CONTEXT).alias("context"), *(v.alias(k) for k, v in ends.items()),
+        F.abs(come).alias("rate"), F.when(come * go < 0, F.least(F.abs(come), F.abs(go))).alias("swing"), F.floor(F.hour("dt") / CONTEXT).alias("context"), *(v.alias(k) for k, v in ends.items()),
     )
 
 
@@ -224,30 +244,31 @@ def _all_equal(side: str, k: int) -> Column:
 def _sketches(seen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Residual quantiles by source and hour context, by source, and how often names repeat a number."""
     delivered = seen.where("first and eid is not null and dt is not null")
-    delivered = delivered.select("eid", "att_id", "context", *(F.when(F.col("num").isNotNull() & ~F.col("bad"), F.col(k)).alias(k) for k in ("num", "residual", "run", "repeats")))
+    delivered = delivered.select("eid", "att_id", "context", *(F.when(F.col("num").isNotNull() & ~F.col("bad"), F.col(k)).alias(k) for k in ("num", "residual", "run", "repeats", "rate")))
     seen = delivered.where("run is not null")
     quartiles = F.percentile_approx("residual", [0.25, 0.75], 200)
     free = F.when(F.col("run") < RUN, F.col("repeats").cast("int"))
     by_context = seen.groupBy("eid", "att_id", "context").agg(quartiles.alias("cq"), F.count("residual").alias("cn"))
-    by_source = delivered.groupBy("eid", "att_id").agg(quartiles.alias("sq"), F.percentile_approx("num", 0.5, 200).alias("middle"), F.count(F.lit(1)).alias("n"), F.avg(free).alias("source_repeats"))
+    by_source = delivered.groupBy("eid", "att_id").agg(quartiles.alias("sq"), F.percentile_approx("num", 0.5, 200).alias("middle"), F.percentile_approx("rate", 0.75, 200).alias("rates"), F.count(F.lit(1)).alias("n"), F.avg(free).alias("source_repeats"))
     by_name = seen.groupBy("att_id").agg(F.avg(F.col("repeats").cast("int")).alias("name_repeats"))
     return by_context, by_source, by_name
 
 
-def judged(eadv: DataFrame, catalog: DataFrame, least: int = LEAST, heavy: int = 50_000) -> DataFrame:
+def judged(eadv: DataFrame, catalog: DataFrame, least: int = LEAST, heavy: int = HEAVY) -> DataFrame:
     """``rid, kind`` of every implausible reading; ``kind`` is impossible, spike or stuck."""
     seen = materialize(observed(_chunked(readings(eadv, catalog), _chunks(eadv, catalog, heavy))), "readings")
     by_context, by_source, by_name = _sketches(seen)
     iqr = lambda q: F.get(q, F.lit(1)) - F.get(q, F.lit(0))
     c = F.col
-    suspects = seen.where(f"first and not bad and num is not null and (run >= {RUN} or off > 0 or one is not null)").drop("repeats")
+    suspects = seen.where(f"first and not bad and num is not null and (run >= {RUN} or off > 0 or one is not null)").drop("repeats", "rate")
     j = suspects.join(by_source.where(c("n") >= least), ["eid", "att_id"]).join(by_context, ["eid", "att_id", "context"], "left").join(F.broadcast(by_name), "att_id")
     j = j.where((F.coalesce("source_repeats", F.lit(1.0)) < SETTING) & (F.coalesce("name_repeats", F.lit(1.0)) < SETTING))
     j = j.withColumn("off", F.when(c("one").isNotNull(), _off_at_end()).otherwise(c("off")))
     spread = F.when(c("cn") >= CONTEXT_LEAST, F.greatest(iqr("cq"), iqr("sq") / 2)).otherwise(iqr("sq"))
     level = F.abs("level")
     spike = ((c("off") > FENCE * spread) & (c("off") > SHARE * level)) | (c("off") > FAR * F.greatest(spread, RESOLUTION * level))
-    kind = F.when(c("run") >= RUN, "stuck").when(spike, "spike")
+    sudden = (c("off") > NEAR * F.greatest(spread, RESOLUTION * level)) & (c("off") > SHARE * level) & (c("swing") > RATE * c("rates"))
+    kind = F.when(c("run") >= RUN, "stuck").when(spike | F.coalesce(sudden, F.lit(False)), "spike")
     found = j.select("rid", "eid", "att_id", "dt", "num", kind.alias("kind")).where("kind is not null")
     copies = seen.where("not first and not bad").select(c("rid").alias("copy"), "eid", "att_id", "dt", "num")
     copied = found.join(copies, ["eid", "att_id", "dt", "num"]).select(c("copy").alias("rid"), "kind")

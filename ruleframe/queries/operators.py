@@ -24,15 +24,28 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_wide(spark: SparkSession, folder: str) -> DataFrame:
-    return eav_wide.wide(*_tables(spark, folder))
+    return eav_wide.wide(*_tables(spark, folder), as_of=AS_OF)
+
+
+def p1_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """What fills the columns of the wide table, by name."""
+    eadv, catalog = _tables(spark, folder)
+    return eav_wide.filled(eav_wide.wide(eadv, catalog, as_of=AS_OF), catalog)
 
 
 def p4_features(spark: SparkSession, folder: str) -> DataFrame:
-    return features.features(*_tables(spark, folder), AS_OF)
+    eadv, catalog = _tables(spark, folder)
+    return features.features(features.store(eadv, catalog), catalog, AS_OF)
+
+
+def p4_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """What fills the columns of the feature table, by name."""
+    return features.sums(p4_features(spark, folder), table(spark, folder, "att_catalog"))
 
 
 def p4_window_features(spark: SparkSession, folder: str) -> DataFrame:
-    long = features.features_long(*_tables(spark, folder), AS_OF, (30, 365))
+    eadv, catalog = _tables(spark, folder)
+    long = features.features_long(features.store(eadv, catalog), catalog, AS_OF, (30, 365))
     return long.withColumns({c: F.round(c, 4) for c in long.columns if c.startswith("total")})
 
 
@@ -60,7 +73,7 @@ def p6_note_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return eager.pair_totals(rows, notes, "eid", "att", "num")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p4_features, p4_window_features, p5_found, p5_kinds, p6_found, p6_totals, p6_note_pairs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_wide, p1_filled, p4_features, p4_sums, p4_window_features, p5_found, p5_kinds, p6_found, p6_totals, p6_note_pairs)}
 
 _NAMES = "SELECT eid, lower(trim(att)) AS att, CASE WHEN regexp_full_match(trim(val), '-?[0-9]+([.][0-9]+)?') THEN CAST(trim(val) AS DOUBLE) END AS num FROM eadv"
 
@@ -112,3 +125,24 @@ SQL["p1_found"] = (
             ELSE coalesce(try_strptime(w, ['%Y-%m-%d', '%Y/%m/%d', '%d/%m/%Y', '%d.%m.%Y', '%d %b %Y', '%d-%b-%Y', '%b %d, %Y', '%Y-%m-%dt%H:%M:%S']),
                           CASE WHEN regexp_full_match(w, '[0-9]{8}') THEN try_strptime(w, '%Y%m%d') END) IS NULL END"""
 )
+
+SQL["p1_filled"] = (
+    f"""
+        WITH once AS (SELECT e.rid, e.eid, c.att, c.data_type, c.unit, e.dt, e.val, e.loc FROM eadv e JOIN att_catalog c ON c.att = lower(trim(e.att))
+                      WHERE e.eid IS NOT NULL AND (e.dt IS NULL OR e.dt < TIMESTAMP '2024-01-01') AND length(trim(e.val, E' \\t\\n')) > 0),
+        {_NUMBER.replace("numbers AS (SELECT eid,", "numbers AS (SELECT rid, data_type, val, eid,")},"""
+    + r"""
+        words AS (SELECT *, lower(trim(val)) AS w FROM numbers),
+        read AS (SELECT eid, att, dt, rid, CASE data_type WHEN 'NUMERIC' THEN CASE WHEN NOT isnan(num) AND NOT isinf(num) THEN num END WHEN 'TEXT' THEN length(val)
+            WHEN 'BOOLEAN' THEN CASE WHEN w IN ('true', 't', 'yes', 'y', '1') THEN 1 WHEN w IN ('false', 'f', 'no', 'n', '0') THEN 0 END
+            ELSE date_diff('day', TIMESTAMP '1970-01-01', coalesce(try_strptime(w, ['%Y-%m-%d', '%Y/%m/%d', '%d/%m/%Y', '%d.%m.%Y', '%d %b %Y', '%d-%b-%Y', '%b %d, %Y', '%Y-%m-%dt%H:%M:%S']),
+                          CASE WHEN regexp_full_match(w, '[0-9]{8}') THEN try_strptime(w, '%Y%m%d') END)) END::DOUBLE AS x FROM words),
+        newest AS (SELECT * FROM read WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY eid, att ORDER BY dt DESC NULLS LAST, rid DESC) = 1)
+        SELECT c.att, count(n.x) AS cells, round(sum(n.x), 2) AS total FROM att_catalog c LEFT JOIN newest n ON n.att = c.att GROUP BY c.att"""
+)
+
+SQL["p4_sums"] = f"""
+        WITH {_ONCE}, {_NUMBER},
+        f AS (SELECT eid, att, count(*) AS n, date_diff('day', max(dt), TIMESTAMP '2024-01-01') AS days_since, sum(num) AS total FROM numbers GROUP BY eid, att)
+        SELECT c.att, coalesce(sum(f.n), 0)::BIGINT AS n, sum(f.days_since)::BIGINT AS days_since, CASE WHEN c.data_type = 'NUMERIC' THEN round(sum(f.total), 2) END AS total
+        FROM att_catalog c LEFT JOIN f ON f.att = c.att GROUP BY c.att, c.data_type"""

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _made: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where it is unset, a local one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Unset, it is a local folder in local mode (tests) and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ruleframe-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = _local.setdefault(context.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="ruleframe-")
+        _local[context.applicationId] = path
     return path.rstrip("/")
 
 
@@ -60,14 +64,24 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def estimated_bytes(df: DataFrame) -> float:
+    """Spark's estimate of the size of ``df``; 0 if it has none."""
+    size = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0.0  # sources without statistics claim the highest number
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, if it has fewer: for work that costs far more than a shuffle of its rows.
+    """``df``, a projection of a table, in as many partitions as there are cores, if its size makes fewer: for work that costs far more than a shuffle of its rows.
 
-    A table of one small file would otherwise be one task; large tables have many partitions and are left alone.
+    A table of one small file would otherwise be one task; large tables have many partitions and are left alone. The test is
+    on sizes, so nothing runs for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(cores) if estimated_bytes(df) < cores * split else df
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, size: float = 0.0, each: int = 128 << 20) -> int:
+    """Partitions for a shuffle: the session's number, or more where ``size`` bytes would make them larger than ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size // each) + 1)

@@ -38,6 +38,16 @@ def test_wide_rows_and_rejects(spark, catalog, block):
     assert sorted(x.rid for x in eav_wide.rejects(df, catalog, block=block).collect()) == [3, 7, 13]
 
 
+def test_wide_before_a_day_and_no_table_left_behind(spark, catalog):
+    rows = [(1, "lab_k", T0, "1"), (1, "lab_k", datetime(2070, 1, 1), "2"), (1, "lab_k", datetime(2070, 1, 1), "bad"), (2, "lab_k", datetime(2070, 1, 1), "3"), (3, "lab_k", None, "4")]
+    assert {r.eid: r.lab_k for r in eav_wide.wide(eadv(spark, rows), catalog).collect()} == {1: 2.0, 2: 3.0, 3: 4.0}
+    w = eav_wide.wide(eadv(spark, rows), catalog, as_of=date(2024, 1, 1))
+    assert {r.eid: r.lab_k for r in w.collect()} == {1: 1.0, 3: 4.0}
+    assert [r.rid for r in eav_wide.rejects(eadv(spark, rows), catalog, as_of=date(2024, 1, 1)).collect()] == [3]
+    assert {r.att: (r.cells, r.total) for r in eav_wide.filled(w, catalog).collect()}["lab_k"] == (2, 5.0)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ruleframe_cells")]
+
+
 def test_wide_of_nothing_and_of_clashing_names(spark):
     names = spark.createDataFrame([("eid", "NUMERIC", None, None, None, None), ("a`b", "TEXT", None, None, None, None), (None, "TEXT", None, None, None, None), ("A`B", "NUMERIC", None, None, None, None)], CATALOG)
     assert [a.att for a in attributes(names)] == ["a`b", "eid"]
@@ -61,6 +71,18 @@ def test_wide_against_brute_force_with_a_hot_entity(spark, catalog):
     assert sorted(r.rid for r in eav_wide.rejects(eadv(spark, rows), catalog, block=2).collect()) == bad
 
 
+def stored(spark, catalog, rows, **options):
+    return features.store(eadv(spark, rows, **options), catalog)
+
+
+def test_one_stored_table_answers_any_day(spark, catalog, tmp_path):
+    rows = [(1, "lab_k", T0 + timedelta(days=d), str(d)) for d in (0, 3, 3, 10)]
+    table = features.store(eadv(spark, rows), catalog, str(tmp_path / "cumulative"))
+    ask = lambda day, *w: features.features_long(table, catalog, day, w).first()
+    assert (ask(date(2023, 1, 4)).n, ask(date(2023, 1, 5)).n, ask(date(2024, 1, 1), 360).n_360d) == (1, 2, 1)
+    assert spark.read.parquet(str(tmp_path / "cumulative")).count() == 3
+
+
 def test_features(spark, catalog):
     at = date(2024, 1, 1)
     d = lambda n: datetime(2024, 1, 1) - timedelta(days=n)
@@ -68,7 +90,7 @@ def test_features(spark, catalog):
         (1, "lab_k", d(40), "2"), (1, " Lab_K", d(40), "2"), (1, "lab_k", d(40), "3"), (1, "lab_k", d(3), "4,5"), (1, "lab_k", d(-5), "100"), (1, "dx_a", d(10), "true"),
         (2, "lab_k", d(-1), "1"), (3, "unlisted", d(5), "1"), (4, "lab_k", None, "1"), (None, "lab_k", d(5), "1"), (5, "lab_k", d(5), None), (5, "lab_k", d(5), None), (5, "note", d(1), "x"),
     ]
-    got = {r.eid: r.asDict() for r in features.features(eadv(spark, rows, extra=True), catalog, at, (30,)).collect()}
+    got = {r.eid: r.asDict() for r in features.features(stored(spark, catalog, rows, extra=True), catalog, at, (30,)).collect()}
     assert set(got) == {1, 2, 3, 4, 5}
     one = got[1]
     assert [one[f"lab_k__{c}"] for c in ("n", "days_since", "total", "n_30d", "total_30d")] == [3, 3, 9.5, 1, 4.5]
@@ -76,9 +98,9 @@ def test_features(spark, catalog):
     for e in (2, 3, 4):
         assert (got[e]["lab_k__n"], got[e]["lab_k__days_since"], got[e]["lab_k__total"]) == (0, None, None)
     assert (got[5]["lab_k__n"], got[5]["lab_k__total"], got[5]["note__days_since"]) == (1, None, 1)
-    long = features.features_long(eadv(spark, rows), catalog, at, (30,)).collect()
+    long = features.features_long(stored(spark, catalog, rows), catalog, at, (30,)).collect()
     assert {(r.eid, r.att) for r in long} == {(1, "lab_k"), (1, "dx_a"), (5, "lab_k"), (5, "note")}
-    assert features.features(eadv(spark, []), catalog, at).count() == 0
+    assert features.features(stored(spark, catalog, []), catalog, at).count() == 0
 
 
 def test_features_against_brute_force(spark, catalog):
@@ -86,7 +108,7 @@ def test_features_against_brute_force(spark, catalog):
     rows = [(rng.choice([1, 1, 1, 2, 3, 4]), rng.choice(["lab_k", "enc_n"]), T0 + timedelta(hours=rng.randrange(9000)), str(rng.randrange(5))) for _ in range(800)]
     rows += rng.sample(rows, 200)
     at = date(2023, 10, 1)
-    for r in features.features_long(eadv(spark, rows), catalog, at, (60,)).collect():
+    for r in features.features_long(stored(spark, catalog, rows), catalog, at, (60,)).collect():
         mine = {x for x in rows if x[:2] == (r.eid, r.att) and x[2].date() < at}
         late = [x for x in mine if x[2].date() >= at - timedelta(days=60)]
         assert (r.n, r.total, r.n_60d, r.total_60d) == (len(mine), sum(int(x[3]) for x in mine), len(late), sum(int(x[3]) for x in late))
@@ -197,13 +219,50 @@ def test_cutting_a_bursty_source_changes_nothing(spark, catalog):
     seen = spikes._chunked(spikes.readings(eadv(spark, rows, extra=True), catalog), spikes._chunks(eadv(spark, rows, extra=True), catalog, 700))
     own = seen.where("not halo").groupBy("chunk").count().collect()
     assert sum(r["count"] for r in own) == len(rows) and len(own) > 5 and max(r["count"] for r in own) <= 1400
-    # every row of a chunk has its HALO rows on either side there
+    # every row of a chunk has its HALO readings on either side there
     order = {rid: k for k, rid in enumerate(sorted(range(1, len(rows) + 1), key=lambda i: rows[i - 1][2]))}
     for r in seen.groupBy("chunk").agg(F.collect_list("rid").alias("all"), F.collect_list(F.when(~F.col("halo"), F.col("rid"))).alias("own")).collect():
         a, o = sorted(order[x] for x in r["all"]), sorted(order[x] for x in r["own"])
         assert a == list(range(a[0], a[-1] + 1)) and a[0] <= max(0, o[0] - spikes.HALO) and a[-1] >= min(len(rows) - 1, o[-1] + spikes.HALO)
 
 
+def test_cutting_changes_nothing_between_junk_copies_and_future_rows(spark, catalog):
+    rng = random.Random(12)
+    rows = []
+    for eid in range(1, 7):
+        hour, mine = 0.0, []
+        for i in range(700):
+            hour += rng.choice([1 / 3600, 0.1, 1, 1, 24])
+            x = f"{100 + rng.gauss(0, 4):.1f}"
+            if i % 90 == 40:
+                x = f"{rng.choice([230, 20]) + rng.random():.1f}"
+                junk = [(hour + rng.uniform(-1, 1) / 7200, rng.choice([None, "haemolysed", "<5"])) for _ in range(rng.choice([0, 300]))]
+                mine += junk
+            if 300 <= i < 307:
+                x = "101.5"
+            mine.append((hour, x))
+            if rng.random() < 0.1:
+                mine.append((hour, rng.choice([x, "99.5", "9999"])))
+        mine.append((9_000_000.0, "100"))
+        rows += [(eid, "lab_free", T0 + timedelta(hours=h), x) for h, x in mine]
+    whole = verdicts(spark, catalog, rows)
+    assert len(whole) > 60 and set(whole.values()) == {"spike", "stuck"}
+    for heavy in (50, 450):
+        assert verdicts(spark, catalog, rows, heavy=heavy) == whole
+
+
+def test_a_rate_of_change_out_of_the_ordinary(spark, catalog):
+    rng = random.Random(14)
+    xs = noisy(rng, 80, 60.0)
+    at = [T0 + timedelta(hours=i) for i in range(80)]
+    for i in (40, 60):
+        xs[i - 3 : i + 4] = [59.0, 60.0, 61.0, 78.0, 61.0, 60.0, 59.0]
+    slow = [(1, "lab_free", t, f"{x:g}") for t, x in zip(at, xs)]
+    assert verdicts(spark, catalog, slow) == {}
+    at[39], at[41] = at[40] - timedelta(minutes=1), at[40] + timedelta(minutes=1)
+    assert verdicts(spark, catalog, [(1, "lab_free", t, f"{x:g}") for t, x in zip(at, xs)]) == {41: "spike"}
+
+
 def test_heavy_keys_and_totals(spark, catalog):
     rows = [(1, "lab_k", T0, "2")] * 30 + [(i, "enc_n", T0, "x") for i in range(2, 20)] + [(None, None, T0, "3"), (None, " ENC_N", T0, "4"), (50, "odd", T0, "5")]
     df = eadv(spark, rows, extra=True)
