@@ -253,7 +253,7 @@ def test_cutting_changes_nothing_between_junk_copies_and_future_rows(spark, cata
 
 def test_a_rate_of_change_out_of_the_ordinary(spark, catalog):
     rng = random.Random(14)
-    xs = noisy(rng, 80, 60.0, 4.5)
+    xs = noisy(rng, 80, 60.0, 5.5)
     at = [T0 + timedelta(hours=i) for i in range(80)]
     for i in (40, 60):
         xs[i - 3 : i + 4] = [59.0, 60.0, 61.0, 78.0, 61.0, 60.0, 59.0]
