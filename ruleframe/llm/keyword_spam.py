@@ -1,16 +1,21 @@
 """Problem 9: posts made of search phrases, links, tags or product names instead of sentences.
 
 A post's own words are taken first: quotes (bracket, blockquote, ``>`` and ``|`` styles with their headers) and the signature
-are left aside, markup is removed, compatibility forms, invisible characters and run-together tags are resolved. Then a suffix
-automaton over the post's words (over characters in scripts written without spaces) finds its maximal repeats, and the share of characters they cover is measured. Apart from
-that, the post is cut into segments, and a word counts as part of a clause if its segment reads like one: enough words, among
-them function words of some language or, in scripts written without spaces, a sentence's end.
+are left aside, markup is removed, compatibility forms, invisible characters and run-together tags are resolved, digits made
+alike. Then a suffix automaton over the characters of the post finds its maximal repeats of at least ``LEAST_REPEAT``
+characters, the share of the text that they cover, and the share of its letters in the occurrences of the most repeated
+phrase. The automaton is built over the stretches in which every run of ``LEAST_REPEAT`` characters occurs again somewhere in
+the post: all such repeats lie in them whole, so nothing is lost, and ordinary posts have little of them.
 
-A post is spam if most of its own words lie outside clauses and repeats cover much of those, or if repeats cover nearly
-everything, clauses or not. Each text is judged alone and whole, in linear time.
+Where these stretches, which bound what an automaton can find, are too few to make the post spam, the automaton is spared.
 
-Defined cases: NULL, empty and blank text, and posts of fewer than ``LEAST_WORDS`` own words, are none; a very long text is
-processed whole; repeated rows are judged alike; further columns are ignored.
+Covered text is judged by its clauses, in any language: what share of its letters stands outside of anything set like a
+sentence (a beginning that is no small letter, an end mark, words in between). A post is spam if repeats cover it and most of
+it is outside of sentences, or if one phrase over and over makes up about half of it, sentences or not. Each text is judged
+alone and whole, in close to linear time.
+
+Defined cases: NULL, empty and blank text, and posts of fewer than ``LEAST_LETTERS`` own letters, are none; a very long text
+is processed whole; repeated rows are judged alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,29 +24,21 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from ..session import spread
 
-LEAST_WORDS = 12
-
-#: Frequent function words by language; words usual in search phrases (for, near, de, à) are left out.
-FUNCTION_WORDS = {
-    "en": "the a an and or but is was were are be been it its i you he she they we our my your his their this that these those which who what when if not never so than then there has have had do does did would will can could should at on in from with by as until before although though because just only still any some here how to of up out first one".split(),
-    "de": "der die das ein eine einen und oder aber ist war wurde ich du er sie es wir mein meine dein mich mir sich nicht noch so wie was wenn weil obwohl nach vor am im zum zur mit auf hat habe hatte musste an".split(),
-    "fr": "le la les un une et ou mais est était a été j'ai il elle je tu nous on mon ma ton ta ce cette que qui ne pas plus si mais parce par avec sur dans n'est ne tout encore".split(),
-    "es": "el la los las un una y o pero es era fue está estaba yo tu se mi que no ya si porque por con en sin al del lo más como todo otra esta este".split(),
-    "ru": "и а но не на в с из что как это я ты он она мы вы мой всё был была было были стал стала так ещё уже после перед по".split(),
-    "el": "ο η το οι τα του της και ή αλλά είναι ήταν δεν να που με στο στη από για τον την μου σου πριν μετά χθες".split(),
-    "ar": "هل لست لكنني والآن وهذا الآن أمس شيء عند حتى كنت في من على أن إلى لم لا ما هذا هذه كان كانت قد و ثم بعد قبل لكن مع الذي التي كل".split(),
-    "hi": "है हैं था थी थे और या लेकिन नहीं में से को का की के मैंने यह वह कि जो गया गई हुआ हुई पर ने".split(),
-    "ko": "그 이 저 것 수 그리고 하지만 그래서 다시 아직 잘 더 안 못 제가".split(),
-}
-#: Endings of Korean verbs, which take the place of function words.
-_KOREAN_ENDS = ("다", "요", "고", "는데", "지만", "니다", "까", "서", "면")
-_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words)
+#: Characters of a repeat, at least.
+LEAST_REPEAT = 6
+#: Own letters below which a post is too short to repeat anything: a one-line reply.
+LEAST_LETTERS = 30
+#: Shares of a spam post: of the text in repeats; that and the share of letters outside sentences together ...
+COVERED, TOGETHER = 0.2, 1.2
+#: ... or of the letters in one phrase that occurs ``OFTEN`` times, in a text covered to this share.
+PHRASE, PHRASE_COVERED, OFTEN = 0.48, 0.5, 4
 
 _QUOTE_TAG = re.compile(r"\[(quote|QUOTE)[^\]]{0,200}\]|\[/(quote|QUOTE)\]")
 _BLOCK = re.compile(r"<blockquote[^>]*>|</blockquote>", re.I)
@@ -57,23 +54,28 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"\[/?(?:b|i|u|url|img|size|color|list|\*|code|center|font)[^\]]*\]|<[^<>]{1,300}>", re.I)
 _HREF = re.compile(r"""(?:href\s*=\s*['"]?|\[url=|\]\()\s*((?:https?://|www\.)[^\s'">\])]+)""", re.I)
 _ENTITY = {"&gt;": ">", "&lt;": "<", "&amp;": "&", "&nbsp;": " ", "&quot;": '"', "&#39;": "'"}
+_INVISIBLE = regex.compile(r"\p{Cf}+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = regex.compile(r"[\p{L}\p{N}@][\p{L}\p{M}\p{N}@]*(?:['’][\p{L}\p{M}]+)*")
-_SEGMENT = re.compile(r"([.!?।;|•·/]+)(?=\s|$)|([。！？؟]+)|\s[-–—/|•·*+>]+\s|[\n\r|•·]+")
+_SEGMENT = re.compile(r"([.!?।|•·/]+)(?=\s|$)|([。！？؟]+)|\s[-–—/|•·*+>]+\s|[\n\r|•·]+")
 _ENDS = frozenset(".!?।。！？؟")
-_GREEK = re.compile(r"[\u0370-\u03ff]")
-_STRETCHED = re.compile(r"(.)\1{3}")
-#: Letters of scripts without spaces, and the particles that clauses in them hold.
+#: The Greek question mark.
+_GREEK = re.compile(r"(?<=[\u0370-\u03ff\u1f00-\u1fff]);")
+_STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+_BLANK = re.compile(r"[\s_+]+|%20")
+_DIGIT = re.compile(r"\d")
+#: Letters of scripts without spaces.
 _NO_SPACE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
-_PARTICLES = re.compile(r"[をはがにでともの的了是我在不这有]")
 
 
 def own_text(text: str) -> str:
     """The text without quoted parts, log excerpts and the signature, in plain form."""
     t = text
-    for k, v in _ENTITY.items():
-        t = t.replace(k, v)
-    t = "".join(ch for ch in unicodedata.normalize("NFKC", t) if unicodedata.category(ch) != "Cf")
+    if "&" in t:
+        for k, v in _ENTITY.items():
+            t = t.replace(k, v)
+    if not t.isascii():
+        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", t))
     for pattern in (_QUOTE_TAG, _BLOCK):
         out, depth, at = [], 0, 0
         for m in pattern.finditer(t):
@@ -112,147 +114,164 @@ def _link_words(m: re.Match) -> str:
     return f" {host.replace('.', 'x').replace('-', 'x').rstrip('x')} {regex.sub(r'[^\p{L}]+', ' ', path)} "
 
 
-def words_and_segments(own: str) -> tuple[list[str], list[int], list[bool], int]:
-    """Words in order, numbers and stretched words left out, the segment of each; per segment whether it is set like a sentence.
+def plain(own: str) -> str:
+    """What repeats are looked for in: markup gone, links with their addresses, tags as words, digits alike, no long runs."""
+    links = _HREF.findall(own) if "://" in own or "www." in own else ()
+    t = _TAG.sub(" ", own) if "[" in own or "<" in own else own
+    t = _CAMEL.sub(" ", " ".join([t, *links]))
+    return _STRETCHED.sub(r"\1\1\1", _BLANK.sub(" ", _DIGIT.sub("0", t.lower()))).strip()
+
+
+def again(text: str, least: int = LEAST_REPEAT) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters lie in a run of ``least`` characters that occurs again, and in one that occurs ``OFTEN`` times.
 
-    And the number of all words, numbers included.
+    These are the characters that repeats, and phrases that occur so often, can cover at most (and, hashes apart, do cover).
     """
-    links = " \n ".join(_HREF.findall(own))
-    words: list[str] = []
-    segment: list[int] = []
-    sentence: list[bool] = []
-    every = 0
-    for part in (_TAG.sub(" ", own), links):
-        part = _LINK.sub(_link_words, part)
+    n = len(text) - least + 1
+    masks = np.zeros((2, len(text)), bool)
+    if n < 2:
+        return masks[0], masks[1]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = codes[:n].copy()
+    for i in range(1, least):
+        h *= np.uint64(0x100000001B3)
+        h += codes[i : i + n]
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    for mask, times in zip(masks, (2, OFTEN)):
+        first = np.flatnonzero(h[times - 1 :] == h[: max(0, n - times + 1)])
+        hit = np.zeros(n, bool)
+        for k in range(times):
+            hit[order[first + k]] = True
+        for i in range(least):
+            mask[i : i + n] |= hit
+    return masks[0], masks[1]
+
+
+def repeats(text: str, kept: np.ndarray, least: int = LEAST_REPEAT) -> tuple[float, int]:
+    """Share of ``text`` in maximal repeats of at least ``least`` characters, by the suffix automaton over its ``kept`` stretches.
+
+    And the letters in all occurrences of the repeat that has most of them, among those that occur ``OFTEN`` times.
+    """
+    at = np.flatnonzero(kept)
+    if not len(at):
+        return 0.0, 0
+    go: list[dict] = [{}]
+    link, length, end, prefix = [-1], [0], [0], []
+    new, new_link, new_length, new_end, new_prefix = go.append, link.append, length.append, end.append, prefix.append
+    last, before = 0, int(at[0]) - 1
+    for i in at.tolist():
+        # a mark of its own parts a stretch from the next
+        for c in (text[i],) if i == before + 1 else (-i, text[i]):
+            cur = len(go)
+            new({})
+            size = length[last] + 1
+            new_length(size)
+            new_end(i)
+            p = last
+            while p >= 0 and c not in go[p]:
+                go[p][c] = cur
+                p = link[p]
+            if p < 0:
+                new_link(0)
+            else:
+                q = go[p][c]
+                size = length[p] + 1
+                if size == length[q]:
+                    new_link(q)
+                else:
+                    clone = cur + 1
+                    new_link(clone)
+                    new(go[q].copy())
+                    new_length(size)
+                    new_link(link[q])
+                    new_end(end[q])
+                    while p >= 0 and go[p].get(c) == q:
+                        go[p][c] = clone
+                        p = link[p]
+                    link[q] = clone
+            last = cur
+        before = i
+        new_prefix(last)
+    sizes, ends = np.array(length), np.array(end)
+    order = np.argsort(sizes, kind="stable")[1:].tolist()
+    count = [0] * len(go)
+    for s in prefix:
+        count[s] = 1
+    for s in reversed(order):
+        count[link[s]] += count[s]
+    # the longest repeat that ends at a position is the nearest repeated state on the suffix path of its prefix
+    reach = [0] * len(go)
+    for s in order:
+        reach[s] = length[s] if count[s] > 1 else reach[link[s]]
+    longest = np.array([reach[s] for s in prefix])
+    long = longest >= least
+    edges = np.bincount((at - longest + 1)[long], minlength=len(text) + 1) - np.bincount(at[long] + 1, minlength=len(text) + 1)
+    cover = float((np.cumsum(edges)[:-1] > 0).mean())
+    counts = np.array(count)
+    often = np.flatnonzero((counts >= OFTEN) & (sizes >= least))
+    letters = np.concatenate([[0], np.cumsum([ch.isalpha() for ch in text])])
+    weight = counts[often] * (letters[ends[often] + 1] - letters[ends[often] + 1 - sizes[often]])
+    return cover, int(weight.max(initial=0))
+
+
+def outside(own: str) -> float:
+    """Share of letters outside of anything set like a sentence; letters of long words count up to ten, so that addresses do not weigh most."""
+    total = alone = 0
+    for part in (_TAG.sub(" ", own), " \n ".join(_HREF.findall(own))):
+        part = _GREEK.sub("?", _CAMEL.sub(" ", _LINK.sub(_link_words, part)).replace("_", " "))
         at = 0
         for m in [*_SEGMENT.finditer(part), None]:
             piece = part[at : m.start() if m else len(part)]
             at = m.end() if m else 0
+            words = [w for w in _WORD.findall(piece) if not w.isdecimal()]
+            if not words:
+                continue
+            letters = sum(min(len(w), 10) for w in words)
+            total += letters
             first = piece.lstrip(" \t\u00a1\u00bf\"'(")[:1]
             end = (m.group(1) or m.group(2) or " ")[0] if m else " "
-            ends = end in _ENDS or end == ";" and bool(_GREEK.search(piece))  # the Greek question mark
-            sentence.append(bool(ends and first and not first.islower()))
-            for w in _WORD.findall(_CAMEL.sub(" ", piece).replace("_", " ").replace("+", " ").replace("%20", " ")):
-                every += 1
-                if not w.isdecimal() and not _STRETCHED.search(w):
-                    words.append(w.lower().replace("’", "'"))
-                    segment.append(len(sentence) - 1)
-    return words, segment, sentence, every
+            spelled = 2 * sum(len(w) == 1 for w in words) > len(words) and not _NO_SPACE.search(piece)  # letters set apart
+            enough = 2 <= len(words) <= 40 or len(words[0]) >= 6 and bool(_NO_SPACE.search(words[0]))
+            if not (end in _ENDS and first and not first.islower() and enough and not spelled):
+                alone += letters
+    return alone / total if total else 0.0
 
 
-def repeated(words: list[str], least: int = 2) -> tuple[list[bool], float]:
-    """Which words lie in a maximal repeat of at least ``least`` words, by the suffix automaton of the word sequence.
+def measure(text: str | None) -> tuple[int, float, float | None, float | None]:
+    """Own letters, share of text in repeats; where that may be enough, share of letters in one phrase and of letters outside sentences."""
+    own = own_text(text) if text and not text.isspace() else ""
+    t = plain(own)
+    n = sum(map(str.isalpha, t))
+    if n < LEAST_LETTERS:
+        return n, 0.0, None, None
+    twice, often = again(t)
+    if (most := float(twice.mean())) < COVERED:
+        return n, most, None, None
+    alone = outside(own)
+    phrase = sum(t[i].isalpha() for i in np.flatnonzero(often).tolist()) / n
+    if not is_spam(n, most, phrase, alone):
+        return n, most, phrase, alone  # no automaton could change the verdict, as it finds no more than these bounds
+    cover, letters = repeats(t, twice)
+    return n, cover, min(phrase, letters / n), alone  # occurrences of a phrase may overlap, what they cover does not
 
-    And the share of the words that the occurrences of one phrase make up at most, of phrases that occur four times or more.
-    """
-    n = len(words)
-    ids: dict[str, int] = {}
-    seq = [ids.setdefault(w, len(ids)) for w in words]
-    go: list[dict[int, int]] = [{}]
-    link, length, end, count = [-1], [0], [-1], [0]
-    last = 0
-    for i, c in enumerate(seq):
-        cur = len(go)
-        go.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        end.append(i)
-        count.append(1)
-        p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = go[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                clone = len(go)
-                go.append(dict(go[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                end.append(end[q])
-                count.append(0)
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    order = sorted(range(1, len(go)), key=length.__getitem__, reverse=True)
-    for s in order:
-        if link[s] > 0:
-            count[link[s]] += count[s]
-    # the longest repeat that ends at a position is the nearest repeated state on the suffix path of its prefix
-    reach = [0] * len(go)
-    for s in reversed(order):
-        reach[s] = length[s] if count[s] > 1 else reach[link[s]] if link[s] > 0 else 0
-    covered, state = [0] * (n + 1), 0
-    for i, c in enumerate(seq):
-        state = go[state][c]
-        r = reach[state]
-        if r >= least:
-            covered[i - r + 1] += 1
-            covered[i + 1] -= 1
-    out, run = [], 0
-    for i in range(n):
-        run += covered[i]
-        out.append(run > 0)
-    top = max((count[s] * length[s] for s in order if count[s] >= 4 and length[s] >= least), default=0)
-    return out, min(1.0, top / n) if n else 0.0
-
-
-def measure(text: str | None) -> tuple[int, float, float, float, float]:
-    """Own words, share of characters in repeats, share of words in one phrase, share of words outside clauses, share of repeats among those."""
-    if not text or not text.strip():
-        return 0, 0.0, 0.0, 0.0, 0.0
-    words, segment, sentence, n = words_and_segments(own_text(text))
-    spaced = n >= LEAST_WORDS
-    n += sum((len(w) - 1) // 2 for w in words if _NO_SPACE.search(w))  # a word has about two characters in scripts without spaces
-    if n < LEAST_WORDS or not words:
-        return n, 0.0, 0.0, 0.0, 0.0
-    units = [list(w) if _NO_SPACE.search(w) else [w] for w in words]
-    rep_units, top = repeated([u for us in units for u in us])
-    rep, k = [], 0  # per word, the share of it in repeats
-    for us in units:
-        rep.append(sum(rep_units[k : k + len(us)]) / len(us))
-        k += len(us)
-    total = sum(map(len, words))
-    cover = sum(len(w) * r for w, r in zip(words, rep)) / total
-    if not spaced:
-        return n, cover, top, 0.0, 0.0  # too few breaks to tell clauses from other text: only repeats count
-    by: dict[int, list[int]] = {}
-    for i, s in enumerate(segment):
-        by.setdefault(s, []).append(i)
-    outside, outside_rep, weight = 0, 0, 0
-    for k, at in by.items():
-        chars = sum(min(len(words[i]), 10) for i in at)
-        spaceless = "".join(words[i] for i in at if _NO_SPACE.search(words[i]))
-        spelled = 2 * sum(len(words[i]) == 1 for i in at) > len(at)  # letters set apart
-        function = 0 if spelled else sum(words[i] in _FUNCTION or words[i].partition("'")[0] in _FUNCTION or words[i].endswith(_KOREAN_ENDS) for i in at)
-        clause = (len(at) >= 3 and function >= max(1, 0.15 * len(at))) or (sentence[k] and not spelled and 2 <= len(at) <= 40) or (len(spaceless) >= 8 and len(_PARTICLES.findall(spaceless)) >= 2)
-        weight += chars
-        if not clause:
-            outside += chars
-            outside_rep += sum(min(len(words[i]), 10) * rep[i] for i in at)
-    return n, cover, top, outside / weight, outside_rep / outside if outside else 0.0
-
-
-def is_spam(n: int, cover: float, top: float, outside: float, outside_rep: float) -> bool:
-    return n >= LEAST_WORDS and (outside * (0.6 + 0.4 * outside_rep) >= 0.5 or (cover >= 0.6 and top >= 0.5))
+
+def is_spam(n: int, cover: float, phrase: float | None, alone: float | None) -> bool:
+    if n < LEAST_LETTERS or cover < COVERED:
+        return False
+    return cover + (alone or 0.0) >= TOGETHER or cover >= PHRASE_COVERED and (phrase or 0.0) >= PHRASE
 
 
 def scores(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_words, cover, top, outside, outside_repeated, spam`` of every document."""
+    """``doc_id, letters, cover, phrase, outside, spam`` of every document; ``phrase`` and ``outside`` are NULL where repeats cover too little to ask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [measure(t) for t in b.column("text").to_pylist()]
-            columns = [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.float64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *columns, pa.array([is_spam(*r) for r in rows], pa.bool_())], ["doc_id", "n_words", "cover", "top", "outside", "outside_repeated", "spam"]
-            )
+            columns = [pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns, pa.array([is_spam(*r) for r in rows], pa.bool_())], ["doc_id", "letters", "cover", "phrase", "outside", "spam"])
 
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words int, cover double, top double, outside double, outside_repeated double, spam boolean")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, letters int, cover double, phrase double, outside double, spam boolean")
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, partitions, workspace
+from ..session import estimated_bytes, materialize, partitions, workspace
 from ..sources.tables import catalogued
 
 #: A term: a longest run of letters and digits of any script.
@@ -149,8 +149,7 @@ def counts(eadv: DataFrame, catalog: DataFrame, max_bytes: int = MAX_BYTES) -> D
         max_bytes = max(1, max_bytes // 4)
     rows = row_terms(eadv, catalog).withColumn("records", F.lit(1).cast("long"))
     # a text folds to far less than itself, so a sixteenth of the input's estimate is a guess on the safe side
-    estimate = float(str(eadv._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = _bits(estimate / 16 if estimate < 1 << 60 else 0.0, max_bytes)  # sources without statistics claim the highest number
+    bits = _bits(estimated_bytes(eadv) / 16, max_bytes)
     parts, depth, level = [], 0, 0
     while True:
         depth += bits

@@ -236,23 +236,43 @@ def test_mix(spark):
 # keyword spam
 
 
-def repeats_of(words, least):
-    """Positions inside any run of at least ``least`` words that occurs elsewhere too."""
-    out = [False] * len(words)
-    for i in range(len(words)):
-        for j in range(len(words)):
-            if i != j and words[i : i + least] == words[j : j + least] and i + least <= len(words) and j + least <= len(words):
-                out[i : i + least] = [True] * least
+def repeats_of(text, least):
+    """Positions inside any run of at least ``least`` characters that occurs elsewhere too."""
+    out = [False] * len(text)
+    for i in range(len(text) - least + 1):
+        if text.find(text[i : i + least]) < i or text.find(text[i : i + least], i + 1) >= 0:
+            out[i : i + least] = [True] * least
     return out
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), max_size=30))
-def test_automaton_against_brute_force(words):
-    covered, top = keyword_spam.repeated(words)
-    assert covered == repeats_of(words, 2)
-    best = max((n * (b - a) for a in range(len(words)) for b in range(a + 2, len(words) + 1) if (n := sum(words[k : k + b - a] == words[a:b] for k in range(len(words)))) >= 4), default=0)
-    assert top == pytest.approx(min(1.0, best / len(words)) if words else 0.0)
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abc d1", max_size=60), st.integers(2, 6))
+def test_automaton_against_brute_force(text, least):
+    twice, often = keyword_spam.again(text, least)
+    assert twice.tolist() == repeats_of(text, least)
+    cover, letters = keyword_spam.repeats(text, twice, least)
+    assert cover == pytest.approx(sum(repeats_of(text, least)) / max(1, len(text)))
+    runs = {text[a:b] for a in range(len(text)) for b in range(a + least, len(text) + 1)}
+    times = {r: sum(text.startswith(r, k) for k in range(len(text))) for r in runs}
+    assert letters == max((n * sum(map(str.isalpha, r)) for r, n in times.items() if n >= 4), default=0)
+    want = {i for r, n in times.items() if len(r) == least and n >= 4 for k in range(len(text)) if text.startswith(r, k) for i in range(k, k + least)}
+    assert set(np.flatnonzero(often)) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="oak sfa.\n", min_size=40, max_size=200))
+def test_bounds_never_change_a_verdict(text):
+    plain = keyword_spam.plain(keyword_spam.own_text(text))
+    n = sum(map(str.isalpha, plain))
+    twice, often = keyword_spam.again(plain)
+    cover, letters = keyword_spam.repeats(plain, twice)
+    phrase = min(letters, sum(plain[i].isalpha() for i in np.flatnonzero(often))) / max(1, n)
+    assert keyword_spam.is_spam(n, cover, phrase, keyword_spam.outside(keyword_spam.own_text(text))) == keyword_spam.is_spam(*keyword_spam.measure(text))
+
+
+def test_without_the_automaton_nothing_is_found(monkeypatch):
+    monkeypatch.setattr(keyword_spam, "repeats", lambda text, kept: (0.0, 0))
+    assert not any(keyword_spam.is_spam(*keyword_spam.measure(t)) for t in SPAM)
 
 
 SPAM = [
