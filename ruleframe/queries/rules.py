@@ -6,17 +6,21 @@ point results are rounded on both sides, as engines add in different orders.
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine, read_blocks
 from ..graph import find_cycle
-from ..manifest import generate_manifest
+from ..manifest import generate_manifest, write_manifest
 from ..model import Options, RuleblockInput
+from ..session import workspace
 from ..sources import adapters
 from ..sources.tables import table
 
@@ -33,6 +37,10 @@ _SOURCE = {
 }
 
 
+#: The same with the number that a text states.
+_NUMBERS = {source: "SELECT *, try_cast(trim(val) AS DOUBLE) AS n FROM o" if source == "eadv" else "SELECT *, val AS n FROM o" for source in _SOURCE}
+
+
 @dataclass(frozen=True)
 class Query:
     source: str
@@ -55,7 +63,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def _one(source: str, program: str, sql: str) -> Query:
     """A program of one block; ``sql`` gives ``eid`` and the columns for entities that have any, others get NULL."""
-    return Query(source, (("main", program),), f"WITH o AS ({_SOURCE[source]}), u AS (SELECT DISTINCT eid FROM o) SELECT * FROM u LEFT JOIN ({sql}) v USING (eid)")
+    return Query(source, (("main", program),), f"WITH o AS ({_SOURCE[source]}), u AS (SELECT DISTINCT eid FROM o), x AS ({_NUMBERS[source]}) SELECT * FROM u LEFT JOIN ({sql}) v USING (eid)")
 
 
 def _ranked(columns: str, order: str, where: str, n: int = 1) -> str:
@@ -70,6 +78,7 @@ _NEW = "dt DESC NULLS LAST, att, val NULLS LAST"
 _OLD = "dt NULLS LAST, att, val NULLS LAST"
 _R = "att = 'li_R'"
 _CLICK = "att = 'click'"
+_POTASSIUM = "att = 'lab_bld_potassium'"
 _DAYS = "date_diff('day', first, dt)"
 _FIT = f"(SELECT *, min(dt) OVER (PARTITION BY eid) AS first FROM o WHERE {_CLICK})"
 
@@ -179,6 +188,32 @@ RULES: dict[str, Query] = {
             FROM (SELECT eid, sum(val) FILTER (WHERE att = 'ord_P') AS p, sum(val) FILTER (WHERE att = 'ord_F') AS f FROM o GROUP BY eid)"""),
     "compute_case_when": _one("events", "c => eadv.click.val.max(); k : {. => case when c > 90 then 'top' when c is null then 'none' else 'rest' end}; m : {case when c > 50 then 1 else 0 end = 1 => c}, {=> `text`};",
         f"SELECT eid, c, CASE WHEN c > 90 THEN 'top' WHEN c IS NULL THEN 'none' ELSE 'rest' END AS k, CASE WHEN c > 50 THEN c::VARCHAR ELSE 'text' END AS m FROM ({_grouped('max(val) AS c', _CLICK)})"),
+    "compute_helpers": _one("events", """c => eadv.click.val.max(); f => eadv.click.dt.min(); l => eadv.click.dt.max(); t1 : {. => to_char(floor(c))}; t2 : {. => ltrim('  a') + rtrim('b  ') + trim(' c ') + lower('D') + replace('xyx', 'x', 'z')};
+            n1 : {. => nullif(floor(c), 99)}; n2 : {. => instr('clicks', 'ick') + length('abc') + mod(17, 5) + sign(-3) + trunc(-2.7)}; n3 : {. => round(sqrt(c) + exp(1) + ln(10) + log(2, 8), 6)};
+            d1 : {. => date_add(f, 10)}; d2 : {. => date_diff(l, f)}; d3 : {. => add_months(l, 2)}; d4 : {. => trunc(l)}; d5 : {. => to_date('2020-02-29')}; d6 : {. => to_date('03/02/2021', 'DD/MM/YYYY')}; s1 : {. => concat('a', 'b', substring('xyz', 2))};""",
+        """SELECT eid, c, f, l, floor(c)::BIGINT::VARCHAR AS t1, 'abcdzyz' AS t2, CASE WHEN floor(c) <> 99 THEN floor(c)::BIGINT END AS n1, (instr('clicks', 'ick') + length('abc') + 17 % 5 + sign(-3) + trunc(-2.7))::DOUBLE AS n2, round(sqrt(c) + exp(1) + ln(10) + 3, 6) AS n3,
+           CAST(f AS DATE) + 10 AS d1, date_diff('day', f, l) AS d2, CAST(CAST(l AS DATE) + INTERVAL 2 MONTH AS DATE) AS d3, CAST(l AS DATE) AS d4, DATE '2020-02-29' AS d5, DATE '2021-02-03' AS d6, 'abyz' AS s1
+           FROM (SELECT eid, max(val) AS c, min(dt) AS f, max(dt) AS l FROM o WHERE att = 'click' GROUP BY eid)"""),
+    "prose_block": _one("events", "the patient's record; v => eadv.click.val.count(); clinicians' notes; it's done; w : {v > 3 => 'it is; so'};",
+        f"SELECT eid, n AS v, CASE WHEN n > 3 THEN 'it is; so' END AS w FROM ({_grouped('count(val) AS n', _CLICK)})"),
+    # fetches over the delivered observations: NULL, text that is no number, copies, ties
+    "dirty_numbers": _one("eadv", "s => eadv.lab_bld_creat.val.sum(); a => eadv.lab_bld_creat.val.avg(); m => eadv.lab_bld_creat.val.median(); lo => eadv.lab_bld_creat.val.min(); hi => eadv.lab_bld_creat.val.max(); k => eadv.[lab_bld_creat, obs_pulse].val.regr_slope(); b => eadv.lab_bld_creat.val.maxldv();",
+        f"""SELECT eid, s, a, m, lo, hi, k, b_val, b_dt FROM (SELECT DISTINCT eid FROM x)
+            LEFT JOIN (SELECT eid, round(sum(n), 8) AS s, round(avg(n), 8) AS a, round(median(n), 8) AS m, min(n) AS lo, max(n) AS hi FROM x WHERE att = 'lab_bld_creat' GROUP BY eid) USING (eid)
+            LEFT JOIN (SELECT eid, CASE WHEN NOT isnan(k) AND NOT isinf(k) THEN round(k, 8) END AS k FROM (SELECT eid, regr_slope(n, date_diff('day', DATE '1970-01-01', dt::DATE)) AS k FROM x WHERE att IN ('lab_bld_creat', 'obs_pulse') GROUP BY eid)) USING (eid)
+            LEFT JOIN (SELECT eid, val AS b_val, dt AS b_dt FROM x WHERE att = 'lab_bld_creat' QUALIFY row_number() OVER (PARTITION BY eid ORDER BY n DESC NULLS LAST, dt DESC NULLS LAST, att, val NULLS LAST) = 1) USING (eid)"""),
+    "dirty_values": _one("eadv", "l => eadv.lab_bld_potassium.val.last(); f => eadv.lab_bld_potassium.val.firstdv(); n => eadv.lab_bld_potassium.val.nth(2); d => eadv.lab_bld_potassium.val.distinct_count(); m => eadv.lab_bld_potassium.val.stats_mode(); c => eadv.lab_bld_potassium.val.count(); x => eadv.lab_bld_potassium._.exists(); s => eadv.lab_bld_potassium.val.serialize(|);",
+        f"""SELECT eid, l, f_val, f_dt, n, d, m, c, x, s FROM (SELECT DISTINCT eid FROM o)
+            LEFT JOIN ({_ranked('val AS l', _NEW, _POTASSIUM)}) USING (eid) LEFT JOIN ({_ranked('val AS f_val, dt AS f_dt', _OLD, _POTASSIUM)}) USING (eid) LEFT JOIN ({_ranked('val AS n', _NEW, _POTASSIUM, 2)}) USING (eid)
+            LEFT JOIN (SELECT eid, val AS m FROM (SELECT eid, val, row_number() OVER (PARTITION BY eid ORDER BY count(*) DESC, val) AS rn FROM o WHERE {_POTASSIUM} AND val IS NOT NULL GROUP BY eid, val) WHERE rn = 1) USING (eid)
+            LEFT JOIN (SELECT eid, count(DISTINCT val) AS d, count(val) AS c, 1 AS x, string_agg(val, '|' ORDER BY {_OLD}) FILTER (WHERE val IS NOT NULL) AS s FROM o WHERE {_POTASSIUM} GROUP BY eid) USING (eid)"""),
+    "dirty_times": _one("eadv", "g => eadv.lab_bld_potassium.val.max_neg_delta_dv(); r => eadv.lab_bld_potassium.dt.temporal_regularity(); d => eadv.lab_bld_potassium.dt.distinct_count(); y => eadv.lab_bld_potassium.dt.nth(3);",
+        f"""SELECT eid, g_val, g_dt, r, d, y FROM (SELECT DISTINCT eid FROM x)
+            LEFT JOIN (SELECT eid, round(k, 8) AS g_val, dt AS g_dt FROM (SELECT eid, dt, n - lag(n) OVER (PARTITION BY eid ORDER BY {_OLD}) AS k FROM x WHERE {_POTASSIUM}) WHERE k < 0 QUALIFY row_number() OVER (PARTITION BY eid ORDER BY k, dt DESC) = 1) USING (eid)
+            LEFT JOIN (SELECT eid, CASE WHEN count(g) <= 1 THEN NULL WHEN avg(g) = 0 THEN 0 ELSE round(stddev_samp(g) / avg(g), 8) END AS r FROM (
+                SELECT eid, date_diff('day', lag(dt) OVER (PARTITION BY eid ORDER BY {_OLD}), dt) AS g FROM x WHERE {_POTASSIUM}) GROUP BY eid) USING (eid)
+            LEFT JOIN (SELECT eid, count(DISTINCT dt) AS d FROM x WHERE {_POTASSIUM} GROUP BY eid) USING (eid)
+            LEFT JOIN (SELECT eid, dt AS y FROM x WHERE {_POTASSIUM} QUALIFY row_number() OVER (PARTITION BY eid ORDER BY {_NEW}) = 3) USING (eid)"""),
     # several blocks
     "bind_cross_block": Query("events", (("derived", "c => rout_base.c.val.bind(); t => rout_base.l_dt.dt.bind(); hot : {c > 50 => 1}, {=> 0}; days : {. => sysdate - t};"), ("base", "c => eadv.click.val.last(); l => eadv.view.val.lastdv();")),
         f"""WITH o AS ({_SOURCE['events']}) SELECT eid, c, t, CASE WHEN c > 50 THEN 1 ELSE 0 END AS hot, date_diff('day', t, TIMESTAMP '2024-02-01') AS days FROM (SELECT DISTINCT eid FROM o)
@@ -256,6 +291,63 @@ def program_all(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
+# what a compile reports, writes and reads back
+
+_BASE = RuleblockInput("base", "n => eadv.click.val.count().where(dt > sysdate - 20); l => eadv.click.val.lastdv();")
+_NEXT = RuleblockInput("next", "n => rout_base.n.val.bind(); t => rout_base.l_dt.dt.bind(); age : {t!? => sysdate - t}; busy : {n > 2 => 1}, {=> 0};")
+_RECENT = f"""WITH o AS ({_SOURCE['events']}), b AS (SELECT eid, CASE WHEN count(*) FILTER (WHERE dt > DATE '2024-01-12') > 0 THEN count(val) FILTER (WHERE dt > DATE '2024-01-12') END AS n, max(dt) AS t FROM o WHERE att = 'click' GROUP BY eid)
+    SELECT eid, n, t, date_diff('day', t, TIMESTAMP '2024-02-01') AS age, CASE WHEN n > 2 THEN 1 ELSE 0 END AS busy FROM (SELECT DISTINCT eid FROM o) LEFT JOIN b USING (eid)"""
+
+
+def write_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Results written twice, with the options of their compile, and read back; the second run replaces the first."""
+    engine = Engine(spark, {"eadv": adapters.events(spark, folder)})
+    path = workspace(spark, "written")
+    for options in (Options(static_sysdate="2023-06-01"), Options(static_sysdate=TODAY)):
+        written = engine.write(engine.compile([_NEXT, _BASE], options), path)
+    return spark.read.parquet(written["next"])
+
+
+def late_bind(spark: SparkSession, folder: str) -> DataFrame:
+    """A block whose source is pruned away and was saved by an earlier run."""
+    engine = Engine(spark, {"eadv": adapters.events(spark, folder)})
+    written = engine.write(engine.compile([_BASE], Options(static_sysdate=TODAY)), workspace(spark, "written"))
+    later = Engine(spark, engine.catalog | {"rout_base": spark.read.parquet(written["base"])})
+    return later.compile([_BASE, _NEXT], Options(static_sysdate=TODAY, subset=("next",))).dataframes["next"]
+
+
+#: Programs that cannot be compiled, and what the result says.
+_FAULTS = {
+    "forward": ("v : {w > 1 => 1}; w => eadv.click.val.last();", "Undefined variable: w in v"), "unknown variable": ("v => eadv.click.val.count().where(val > q);", "Undefined variable: q in v"),
+    "unknown function": ("v => eadv.click.val.lowest();", "Unsupported function: lowest"), "unknown table": ("v => nowhere.click.val.last();", "Unknown table: nowhere"), "twice": ("v => eadv.a.val.last(); V => eadv.b.val.last();", "Variable defined twice: v"),
+    "unknown source": ("v => rout_gone.x.val.bind();", "Unknown ruleblock in bind: gone"), "cycle": ("v => rout_main.v.val.bind();", "Circular dependency detected: main -> main"), "types": ("v : {sysdate > 5 => 1};", "A date is compared with a number"),
+}
+
+
+def compile_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Each faulty program leaves a result without success and DataFrames, with the cause."""
+    engine = Engine(spark, {"eadv": adapters.events(spark, folder)})
+    results = {k: engine.compile([RuleblockInput("main", text)]) for k, (text, _) in _FAULTS.items()}
+    return spark.createDataFrame([(k, r.success, len(r.dataframes), r.errors[0].message) for k, r in results.items()], "fault string, success boolean, frames long, message string")
+
+
+def compile_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What a compile of all given programs reports: input blocks, results, warnings, stages timed, cache hits."""
+    blocks, _ = read_blocks(table(spark, folder, "ruleblocks"))
+    r = Engine(spark, {"eadv": adapters.eadv(spark, folder)}).compile(blocks, Options(static_sysdate=TODAY))
+    timed = all(r.metrics[f"{k}_ms"] >= 0 for k in ("parse", "link", "transform", "plan")) and r.metrics["total_ms"] >= r.metrics["plan_ms"]
+    return spark.createDataFrame([(r.success, r.metrics["ruleblocks"], len(r.dataframes), timed, r.metrics["cache_hit_rate"])], "success boolean, given long, results long, timed boolean, hits long")
+
+
+def manifest_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the given programs as written to a file of the driver and read back."""
+    with tempfile.TemporaryDirectory() as d:
+        write_manifest(generate_manifest(_programs(spark, folder, Options())), f"{d}/deep/manifest.json")
+        m = json.loads(Path(f"{d}/deep/manifest.json").read_text())
+    rows = [(e["ruleblockId"], e["targetTable"], len(e["dependencies"]), e["outputVariables"], m["totalRuleblocks"], len(m["dependencyGraph"])) for e in m["entries"]]
+    return spark.createDataFrame(rows, "name string, target_table string, dependencies long, output_variables array<string>, total long, graph long").withColumn("output_variables", F.array_join("output_variables", ","))
+
+
 _EDGES = "e AS (SELECT ruleblockId AS n, unnest(dependencies) AS d FROM manifest_entries)"
 _DOWN = f"WITH RECURSIVE {_EDGES}, r AS (SELECT 'marnu_01' AS n UNION SELECT e.n FROM e JOIN r ON e.d = r.n) SELECT n AS name FROM r"
 _UP = f"WITH RECURSIVE {_EDGES}, r AS (SELECT 'cobli_49' AS n UNION SELECT e.d FROM e JOIN r ON e.n = r.n) SELECT n AS name FROM r"
@@ -271,7 +363,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "program_order": program_order,
     "program_run": program_run,
     "program_all": program_all,
-}
+} | {f.__name__: f for f in (write_round_trip, late_bind, compile_faults, compile_report, manifest_file)}
 
 SQL: dict[str, str] = {name: q.sql for name, q in RULES.items()} | {
     "prune_inputs": _DOWN,
@@ -281,6 +373,12 @@ SQL: dict[str, str] = {name: q.sql for name, q in RULES.items()} | {
     "subset": "SELECT name FROM ruleblocks WHERE lower(name) IN ('garsi_02', 'sulpa_00')",
     "program_manifest": "SELECT ruleblockId AS name, targetTable AS target_table, array_to_string(list_sort(dependencies), ',') AS dependencies, array_to_string(outputVariables, ',') AS output_variables FROM manifest_entries",
     "program_order": "SELECT count(*) AS blocks, sum(len(dependencies))::BIGINT AS edges, 0::BIGINT AS late, 0::BIGINT AS cycles FROM manifest_entries",
+    "write_round_trip": _RECENT,
+    "late_bind": _RECENT,
+    "compile_faults": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', false, 0::BIGINT, '{m}')" for k, (_, m) in _FAULTS.items()) + ") AS t(fault, success, frames, message)",
+    "compile_report": """SELECT true AS success, (SELECT count(*) FROM ruleblocks WHERE regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')) AS given, (SELECT count(*) FROM manifest_entries) AS results, true AS timed, 0::BIGINT AS hits""",
+    "manifest_file": """SELECT ruleblockId AS name, targetTable AS target_table, len(dependencies) AS dependencies, array_to_string(outputVariables, ',') AS output_variables,
+        (SELECT count(*) FROM manifest_entries) AS total, (SELECT count(*) FROM manifest_entries) AS graph FROM manifest_entries""",
     "program_run": rf"""
         WITH o AS ({_SOURCE['eadv']}), u AS (SELECT DISTINCT eid FROM o),
         ser AS (SELECT eid, string_agg(val, '|' ORDER BY dt NULLS LAST, att, val NULLS LAST) AS v FROM o WHERE att = 'dev_press_ven' AND val IS NOT NULL GROUP BY eid),
