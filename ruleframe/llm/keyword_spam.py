@@ -50,6 +50,7 @@ _CODE_LINE = re.compile(r"^\W*(?:\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2})|\w(?:[-+!:<>=]
 _BREAK = re.compile(r"<br\s*/?>|</?p>|</?div>|</?li>|</?ul>|</?ol>", re.I)
 _WROTE = re.compile(r"^\W*(?:On\s.{3,40},\s)?\S{2,40}\s+(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 _SIGNATURE = re.compile(r"^\s*(?:-- ?|—|__+|~~+|==+|\*\s?\*\s?\*|\[size=1\].*)\s*$")
+_SIGNATURE_STARTS = "-—_~=*["
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.I)
 _TAG = re.compile(r"\[/?(?:b|i|u|url|img|size|color|list|\*|code|center|font)[^\]]*\]|<[^<>]{1,300}>", re.I)
 _HREF = re.compile(r"""(?:href\s*=\s*['"]?|\[url=|\]\()\s*((?:https?://|www\.)[^\s'">\])]+)""", re.I)
@@ -57,6 +58,8 @@ _ENTITY = {"&gt;": ">", "&lt;": "<", "&amp;": "&", "&nbsp;": " ", "&quot;": '"',
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = regex.compile(r"[\p{L}\p{N}@][\p{L}\p{M}\p{N}@]*(?:['’][\p{L}\p{M}]+)*")
+#: The same for text of ASCII alone.
+_ASCII_WORD = re.compile(r"[A-Za-z0-9@]+(?:'[A-Za-z]+)*")
 _SEGMENT = re.compile(r"([.!?।|•·/]+)(?=\s|$)|([。！？؟]+)|\s[-–—/|•·*+>]+\s|[\n\r|•·]+")
 _ENDS = frozenset(".!?।。！？؟")
 #: The Greek question mark.
@@ -64,6 +67,7 @@ _GREEK = re.compile(r"(?<=[\u0370-\u03ff\u1f00-\u1fff]);")
 _STRETCHED = re.compile(r"(.)\1{3,}", re.S)
 _BLANK = re.compile(r"[\s_+]+|%20")
 _DIGIT = re.compile(r"\d")
+_ALIKE = str.maketrans("123456789", "0" * 9)
 #: Letters of scripts without spaces.
 _NO_SPACE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
@@ -90,15 +94,15 @@ def own_text(text: str) -> str:
             out.append(t[at:])  # a quote that never ends is no reason to drop the whole post
         t = "\n".join(out)
     t = _QUOTED_OR_CODE.sub("\n", t)  # quoted lines first, as a quote may break off inside a code block; breaks inside a quoted line belong to it
-    coded = False
+    coded, codes = False, bool(_CODE_START.search(t))
     lines: list[str] = []
     for line in _BREAK.sub("\n", t).split("\n"):
         s = line.strip()
-        if s.startswith((">", "|")) or _WROTE.match(s):
+        if s.startswith((">", "|")) or s.endswith(":") and _WROTE.match(s):
             continue
-        if _SIGNATURE.match(line) and any(x.strip() for x in lines):
+        if s[:1] in _SIGNATURE_STARTS and s and _SIGNATURE.match(line) and any(x.strip() for x in lines):
             break
-        if start := _CODE_START.search(line):
+        if codes and (start := _CODE_START.search(line)):
             coded = True
             lines.append(line[: start.start()])
             line = line[start.end() :]
@@ -119,7 +123,8 @@ def plain(own: str) -> str:
     links = _HREF.findall(own) if "://" in own or "www." in own else ()
     t = _TAG.sub(" ", own) if "[" in own or "<" in own else own
     t = _CAMEL.sub(" ", " ".join([t, *links]))
-    return _STRETCHED.sub(r"\1\1\1", _BLANK.sub(" ", _DIGIT.sub("0", t.lower()))).strip()
+    t = t.lower().translate(_ALIKE)
+    return _STRETCHED.sub(r"\1\1\1", _BLANK.sub(" ", t if t.isascii() else _DIGIT.sub("0", t))).strip()
 
 
 def again(text: str, least: int = LEAST_REPEAT) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +141,7 @@ def again(text: str, least: int = LEAST_REPEAT) -> tuple[np.ndarray, np.ndarray]
     for i in range(1, least):
         h *= np.uint64(0x100000001B3)
         h += codes[i : i + n]
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     for mask, times in zip(masks, (2, OFTEN)):
         first = np.flatnonzero(h[times - 1 :] == h[: max(0, n - times + 1)])
@@ -224,7 +229,7 @@ def outside(own: str) -> float:
         for m in [*_SEGMENT.finditer(part), None]:
             piece = part[at : m.start() if m else len(part)]
             at = m.end() if m else 0
-            words = [w for w in _WORD.findall(piece) if not w.isdecimal()]
+            words = [w for w in (_ASCII_WORD if piece.isascii() else _WORD).findall(piece) if not w.isdecimal()]
             if not words:
                 continue
             letters = sum(min(len(w), 10) for w in words)
