@@ -281,13 +281,14 @@ def program_run(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def program_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All active given programs over the delivered observations: ``name, eid, row`` of every block and entity, ``row`` as JSON."""
+    """All active given programs over the delivered observations, written block by block: ``name, eid, row`` of every block and entity, ``row`` as JSON."""
     blocks, _ = read_blocks(table(spark, folder, "ruleblocks"))
     engine = Engine(spark, {"eadv": adapters.eadv(spark, folder)})
     result = engine.compile(blocks, Options(static_sysdate=TODAY))
     if not result.success:
         raise ValueError("; ".join(m.message for m in result.errors))
-    parts = [df.select(F.lit(name).alias("name"), "eid", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")) for name, df in engine.run(result).items()]
+    stored = {name: spark.read.parquet(path) for name, path in engine.write(result, workspace(spark, "programs")).items()}
+    parts = [df.select(F.lit(name).alias("name"), "eid", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")) for name, df in stored.items()]
     return reduce(DataFrame.unionAll, parts)
 
 
