@@ -270,7 +270,8 @@ class Compiler:
 
     def number(self, t: Typed) -> str:
         if t.type in ("text", "raw"):
-            return f"{'cast' if self.strict else 'try_cast'}(trim({t.sql}) AS double)"
+            # a cast alone would also read numbers as Java writes them: 5d, 98.6F, 0x1p3
+            return f"{'cast' if self.strict else 'try_cast'}(regexp_replace(trim({t.sql}), '(?<=[0-9.])[dDfFxX]', '?') AS double)"
         if t.type == "bool":
             return f"CAST({t.sql} AS int)"
         if t.type == "null":

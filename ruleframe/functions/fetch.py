@@ -51,8 +51,10 @@ class Rows:
         return f"CASE WHEN {self.hit} THEN {x} END"
 
 
-def by_number(r: Rows, sign: str, newest_first: bool) -> str:
-    return f"struct({r.number} IS NULL, {sign}{r.number}, __us IS NULL, {'- ' if newest_first else ''}__us, __att, __val IS NULL, __val)"
+def by_number(r: Rows, largest: bool, newest_first: bool) -> str:
+    """NaN is the largest number, as in ``max``; a minus sign does not turn it round, so it has a key of its own."""
+    number = f"NOT isnan({r.number}), - {r.number}" if largest else r.number
+    return f"struct({r.number} IS NULL, {number}, __us IS NULL, {'- ' if newest_first else ''}__us, __att, __val IS NULL, __val)"
 
 
 def _first(key: Callable[[Rows], str]) -> Callable[[Rows], str]:
@@ -67,20 +69,25 @@ def _extreme(f: str) -> Callable[[Rows], str]:
     return lambda r: f"{f}({r.when(r.prop.sql if r.prop.type == 'date' else r.number)})"
 
 
+def _finite(x: str) -> str:
+    """A fit over a number that is not finite, or that overflows, is none."""
+    return f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END"
+
+
 def _regression(f: str) -> Callable[[Rows], str]:
-    return lambda r: f"{f}({r.when(r.number)}, {r.when(_DAY)})"
+    return lambda r: _finite(f"{f}({r.when(r.number)}, {r.when(_DAY)})")
 
 
 def _intercept(r: Rows) -> str:
     """The fit is over days since the first matching row; a shift of x moves the intercept by slope times the shift."""
     y, x, near = r.when(r.number), r.when(f"{_DAY} - 18000D"), f"min({r.when(_DAY)}) - 18000D"
-    return f"regr_intercept({y}, {x}) + regr_slope({y}, {x}) * ({near})"
+    return _finite(f"(regr_intercept({y}, {x}) + regr_slope({y}, {x}) * ({near}))")
 
 
 #: name -> aggregate over the rows; the dv functions give a struct of value and time.
 AGGREGATES: dict[str, Callable[[Rows], str]] = {
     "last": _first(lambda r: NEWEST), "first": _first(lambda r: OLDEST), "lastdv": _first(lambda r: NEWEST), "firstdv": _first(lambda r: OLDEST),
-    "maxldv": _first(lambda r: by_number(r, "- ", True)), "minldv": _first(lambda r: by_number(r, "", True)), "minfdv": _first(lambda r: by_number(r, "", False)),
+    "maxldv": _first(lambda r: by_number(r, True, True)), "minldv": _first(lambda r: by_number(r, False, True)), "minfdv": _first(lambda r: by_number(r, False, False)),
     "count": lambda r: f"count({r.when(r.prop.sql)})", "exists": lambda r: "1",
     "sum": _numeric("sum"), "avg": _numeric("avg"), "median": _numeric("median"), "min": _extreme("min"), "max": _extreme("max"),
     "distinct_count": lambda r: f"CAST(size(collect_set({r.when(r.prop.sql)})) AS bigint)", "stats_mode": lambda r: f"mode({r.when(r.prop.sql)}, true)",

@@ -138,6 +138,32 @@ def test_text_values_nulls_and_clashing_columns(spark):
         bad.dataframes["main"].collect()
 
 
+def test_numbers_that_are_not_finite(spark):
+    """NaN is the largest number in every function; no line is fitted through numbers that are not finite."""
+    day = [datetime(2020, 1, d) for d in (1, 2, 3)]
+    texts = {1: ("NaN", "7", "5"), 2: ("inf", " nan", "-inf"), 3: ("5", "Infinity", None), 4: ("1", "2", "3"), 5: ("x", None, "7")}
+    df = spark.createDataFrame([(e, "a", day[i], v) for e, vs in texts.items() for i, v in enumerate(vs)], "eid long, att string, dt timestamp_ntz, val string")
+    calls = ["maxldv()", "minldv()", "minfdv()", "max()", "min()", "regr_slope()", "regr_intercept()", "regr_r2()"]
+    # the same over a variable, which goes another way
+    free = run(spark, df, "".join(f"v{i} => eadv.a.val.{c};" for i, c in enumerate(calls)))
+    late = run(spark, df, "n => eadv.a.dt.count();" + "".join(f"v{i} => eadv.a.val.{c}.where(n > 0);" for i, c in enumerate(calls)))
+    for got in (free, late):
+        assert {e: (r.v0_val, r.v0_dt) for e, r in got.items()} == {1: ("NaN", day[0]), 2: (" nan", day[1]), 3: ("Infinity", day[1]), 4: ("3", day[2]), 5: ("7", day[2])}
+        assert {e: (r.v1_val, r.v2_val) for e, r in got.items()} == {1: ("5", "5"), 2: ("-inf", "-inf"), 3: ("5", "5"), 4: ("1", "1"), 5: ("7", "7")}
+        assert {e: (str(r.v3), r.v4) for e, r in got.items()} == {1: ("nan", 5.0), 2: ("nan", float("-inf")), 3: ("inf", 5.0), 4: ("3.0", 1.0), 5: ("7.0", 7.0)}
+        assert {e: (r.v5, r.v6, r.v7) for e, r in got.items()} == {e: (pytest.approx(1.0), pytest.approx(1.0), pytest.approx(1.0)) if e == 4 else (None, None, None) for e in texts}
+
+
+def test_numbers_as_java_writes_them_are_text(spark):
+    rows = [(1, "a", datetime(2020, 1, 1), v) for v in ("5d", "98.6F", "1.D ", "0x1p3", " +7", "1e1", "2.")] + [(2, "a", datetime(2020, 1, 1), v) for v in ("inf", "3f")]
+    df = spark.createDataFrame(rows, "eid long, att string, dt timestamp_ntz, val string")
+    got = run(spark, df, "s => eadv.a.val.sum(); m => eadv.a.val.median(); h => eadv.a.val.max(); n => eadv.a.val.count().where(val > 4);")
+    assert tuple(got[1][1:]) == (19.0, 7.0, 10.0, 2) and tuple(got[2][1:]) == (float("inf"), float("inf"), float("inf"), 1)
+    bad = Engine(spark, {"eadv": df}).compile([RuleblockInput("main", "v => eadv.a.val.sum();")], Options(strict_cast=True))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        bad.dataframes["main"].collect()
+
+
 def test_ordered_functions_against_brute_force(spark):
     rng = random.Random(3)
     start = datetime(2021, 1, 1)

@@ -46,6 +46,20 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, cursor.fetchall())
 
 
+def test_dirty_numbers_tells_nan_from_null(spark, tmp_path):
+    """Against its SQL over readings that are not finite or no number, which the smallest tables do not hold."""
+    texts = ["NaN", " nan", "inf", "-Infinity", "1e999", "106", "-3", "5d", "98.6F", "0x1p3", "1e1", "", None]
+    readings = [(e, (texts[e % 13], texts[e // 13], "90")[i], i) for e in range(169) for i in range(3)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE eadv (eid BIGINT, att VARCHAR, dt TIMESTAMP, val VARCHAR, loc BIGINT)")
+    con.executemany("INSERT INTO eadv VALUES (?, 'lab_bld_creat', TIMESTAMP '2020-01-01' + INTERVAL 1 DAY * ?, ?, NULL)", [(e, i, v) for e, v, i in readings])
+    con.execute(f"COPY eadv TO '{tmp_path}/eadv.parquet' (FORMAT parquet)")
+    df = entry.queries()["dirty_numbers"](spark, str(tmp_path))
+    cursor = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()['dirty_numbers']})")
+    exact = lambda data: sorted(tuple(repr(round(x, 6)) if isinstance(x, float) and abs(x) < 1e300 else repr(x) for x in r) for r in data)
+    assert exact(df.collect()) == exact(cursor.fetchall())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "eid" and df.count() > 0
